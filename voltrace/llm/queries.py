@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .idfile import read_id_files, write_id_files
 from .packing import pack_documents
+from .quality import apply_quality_rules
+from .simhash import near_duplicates
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +22,52 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_id_files(spark, manifest)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_packing": op2_packing, "op6_token_files": op6_token_files}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    judged = apply_quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), measures=measures, prefix="q_")
+    few, repeated = F.col("q_n_words") < 50, 100 * F.col("q_n_repeat_words") > 50 * F.col("q_n_words")
+    return judged.select("doc_id", *(F.col(f"q_{m}").alias(m) for m in measures), (few | repeated).alias("base_failed"), F.col("q_kept").alias("kept"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), distance=3)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
+    "op6_token_files": op6_token_files,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_simhash": op9_simhash,
+}
+
+_WORDS = r"""regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_quality_rules": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS words FROM documents),
+        grams AS (
+            SELECT r, i, row(words[i], words[i + 1], words[i + 2]) AS gram
+            FROM (SELECT r, words, unnest(generate_series(1, len(words) - 2)) AS i FROM d)
+        ),
+        twice AS (SELECT r, i FROM grams QUALIFY count(*) OVER (PARTITION BY r, gram) > 1),
+        covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+        lines AS (
+            SELECT r, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
+            WHERE regexp_matches(line, '[^ 	-]')
+        ),
+        line_counts AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM lines GROUP BY r),
+        m AS (
+            SELECT doc_id, len(words) AS n_words,
+                coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+                length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(c.n, 0) AS n_repeat_words,
+                len(list_filter(words, lambda w: regexp_matches(w, '[A-Z]') AND NOT regexp_matches(w, '[a-z]'))) AS n_upper
+            FROM d LEFT JOIN covered c USING (r) LEFT JOIN line_counts USING (r)
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+            (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+            NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR 2 * n_upper > n_words
+                OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
+        FROM m
+    """,
+}
