@@ -11,10 +11,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _NUMBERS = "0-9²³¹¼-¾"
 _SPACES = r"\t\n\r "
@@ -28,8 +28,10 @@ _UNUSUAL = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ɏ–—‘’“”…€]")
 class PackedEncoder:
     """encode(texts): for each text its ids as little-endian unsigned 32-bit integers in one bytes object."""
 
-    def __init__(self, path: str, max_entries: int = 300_000):
+    def __init__(self, path: str, max_entries: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("packed ids are little-endian 32-bit integers")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -41,22 +43,25 @@ class PackedEncoder:
             pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not kind.get("normalizer")
         )
         self.max_entries = max_entries
+        #: Two generations: a full memo becomes the old one, from which what is met again moves on.
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _one(self, text: str) -> bytes:
         if not self.splits or _UNUSUAL.search(text):
             return self._ask([text])[0]
         parts = _SPLIT.findall(text)
-        memo = self.memo
-        if new := [x for x in dict.fromkeys(parts) if x not in memo]:
-            if len(memo) + len(new) > self.max_entries:
-                memo.clear()
-                new = list(dict.fromkeys(parts))
-            memo.update(zip(new, self._ask(new), strict=True))
-        return b"".join(map(memo.__getitem__, parts))
+        if new := set(parts).difference(self.memo):
+            if len(self.memo) + len(new) > self.max_entries:
+                self.old, self.memo, new = self.memo, {}, set(parts)
+            old = self.old
+            self.memo.update((x, old[x]) for x in new if x in old)
+            asked = [x for x in new if x not in old]
+            self.memo.update(zip(asked, self._ask(asked), strict=True))
+        return b"".join(map(self.memo.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [self._one(x) if x else b"" for x in texts]
