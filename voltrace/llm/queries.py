@@ -11,12 +11,19 @@ from .idfile import read_id_files, write_id_files
 from .packing import pack_documents
 from .quality import apply_quality_rules
 from .simhash import near_duplicates
+from .substrings import remove_repeats
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), capacity=2048, end_id=1)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = remove_repeats(docs, window=35, rewrite_all=True)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_id_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), end_id=2)
     return read_id_files(spark, manifest)
@@ -35,6 +42,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_token_files": op6_token_files,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash": op9_simhash,
@@ -43,6 +51,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"""regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS words FROM documents),
+        w AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+        win AS (
+            SELECT r, i, count(*) OVER k AS n, sha256(string_agg(word, ' ') OVER k) AS h
+            FROM w WINDOW k AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)
+        ),
+        twice AS (SELECT r, i FROM win WHERE n = 35 QUALIFY count(*) OVER (PARTITION BY h) > 1),
+        gone AS (
+            SELECT w.r, w.i FROM w JOIN twice t ON t.r = w.r AND t.i BETWEEN w.i - 34 AND w.i GROUP BY ALL
+        ),
+        kept AS (
+            SELECT w.r, string_agg(word, ' ' ORDER BY w.i) AS text, count(*) AS n FROM w ANTI JOIN gone USING (r, i) GROUP BY w.r
+        )
+        SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (r)
+    """,
     "op8_quality_rules": rf"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS words FROM documents),
         grams AS (
@@ -53,7 +78,8 @@ ORACLE_SQL: dict[str, str] = {
         covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
         lines AS (
             SELECT r, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
-            WHERE regexp_matches(line, '[^ 	-]')
+            WHERE regexp_matches(line, '[^ 	-
+]')
         ),
         line_counts AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM lines GROUP BY r),
         m AS (
