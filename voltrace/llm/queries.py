@@ -12,6 +12,21 @@ from .packing import pack_documents
 from .quality import apply_quality_rules
 from .simhash import near_duplicates
 from .substrings import remove_repeats
+from .urlfilter import filter_urls, rule_table
+
+
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return filter_urls(pages, rule_table(spark, URL_RULES)).drop("url")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +56,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_token_files": op6_token_files,
@@ -50,7 +66,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = r"""regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"""
 
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": rf"""
+        WITH u AS (
+            SELECT row_number() OVER () AS r, page_id,
+                translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path
+            FROM pages
+        ),
+        best AS (
+            SELECT r, arg_max(h || p, length(h) + length(p)) AS rule, arg_max(v, length(h) + length(p)) AS verdict
+            FROM u JOIN (VALUES {_RULES}) AS t(h, p, v) ON (host = h OR suffix(host, '.' || h)) AND prefix(path, p)
+            GROUP BY r
+        )
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN best USING (r)
+    """,
     "op4_substring_dedup": rf"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS words FROM documents),
         w AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
