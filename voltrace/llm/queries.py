@@ -12,6 +12,7 @@ from .packing import pack_documents
 from .quality import apply_quality_rules
 from .simhash import near_duplicates
 from .substrings import remove_repeats
+from .topk import top_k_inner_products
 from .urlfilter import filter_urls, rule_table
 
 
@@ -44,6 +45,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_id_files(spark, manifest)
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return top_k_inner_products(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     judged = apply_quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), measures=measures, prefix="q_")
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_token_files": op6_token_files,
+    "op7_top_k": op7_top_k,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash": op9_simhash,
 }
@@ -100,6 +107,16 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (r)
     """,
+    "op7_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, row_number() OVER k AS rank, vec_id, score FROM s
+        WINDOW k AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 5
+    """,
     "op8_quality_rules": rf"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS words FROM documents),
         grams AS (
