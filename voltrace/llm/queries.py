@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .idfile import read_id_files, write_id_files
+from .licenses import PHRASES, TEMPLATES, scan_licenses
+from .licenses import vocabulary as license_vocabulary
 from .packing import pack_documents
 from .quality import apply_quality_rules
 from .simhash import near_duplicates
@@ -61,6 +63,21 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), distance=3)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    starts = F.transform("places", lambda s: s["p"].cast("long"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        "base_labels",
+        "labels",
+        "score",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
@@ -69,10 +86,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_top_k": op7_top_k,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash": op9_simhash,
+    "op10_license_scan": op10_license_scan,
 }
 
 _WORDS = r"""regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"""
 
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+
+
+_PHRASES = _values([(label, " ".join(p.split()), len(p.split())) for label, p in PHRASES])
+_TEMPLATES = _values([(t.label, t.wording, t.key, t.key_at, len(t.words), len(t.key.split())) for t in TEMPLATES])
+_POSTINGS = _values([(t.label, q, w) for t in TEMPLATES for q, w in enumerate(t.words)])
+_KNOWN = _values([(w,) for w in license_vocabulary(TEMPLATES, PHRASES)])
+
+
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 ORACLE_SQL: dict[str, str] = {
@@ -145,4 +174,45 @@ ORACLE_SQL: dict[str, str] = {
                 OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
         FROM m
     """,
+    "op10_license_scan": rf"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM documents
+        ),
+        w AS (
+            SELECT r, i, word FROM (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM d)
+            WHERE word IN (SELECT col0 FROM (VALUES {_KNOWN}))
+        ),
+        df AS (SELECT word, count(DISTINCT r) AS df FROM w GROUP BY word),
+        phrases(label, phrase, n) AS (VALUES {_PHRASES}),
+        templates(label, wording, key, key_at, n, key_n) AS (VALUES {_TEMPLATES}),
+        postings(label, q, word) AS (VALUES {_POSTINGS}),
+        base AS (
+            SELECT w.r, w.i, p.label FROM w JOIN phrases p ON split_part(p.phrase, ' ', 1) = w.word JOIN d USING (r)
+            WHERE array_to_string(d.words[w.i + 1:w.i + p.n], ' ') = p.phrase
+        ),
+        anchors AS (
+            SELECT r, word FROM (SELECT DISTINCT r, word FROM w) JOIN df USING (word)
+            WHERE df * 5 <= (SELECT count(*) FROM d)
+            QUALIFY row_number() OVER (PARTITION BY r ORDER BY df, word) <= 8
+        ),
+        starts AS (
+            SELECT DISTINCT w.r, p.label, w.i - p.q AS s FROM w JOIN anchors a ON a.r = w.r AND a.word = w.word JOIN postings p ON p.word = w.word
+        ),
+        found AS (
+            SELECT s.r, s.label, s.s, t.n FROM starts s JOIN templates t USING (label) JOIN d USING (r)
+            WHERE s.s + t.key_at >= 0 AND array_to_string(d.words[s.s + t.key_at + 1:s.s + t.key_at + t.key_n], ' ') = t.key
+        ),
+        shares AS (
+            SELECT f.r, f.label, f.s, count(*) / any_value(f.n)::DOUBLE AS share
+            FROM found f JOIN postings p USING (label) JOIN w ON w.r = f.r AND w.i = f.s + p.q AND w.word = p.word GROUP BY f.r, f.label, f.s
+        ),
+        b AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r),
+        l AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM base UNION SELECT r, label FROM found) GROUP BY r),
+        c AS (SELECT r, max(share) AS score FROM shares GROUP BY r)
+        SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+            coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+        FROM d LEFT JOIN b USING (r) LEFT JOIN l USING (r) LEFT JOIN c USING (r)
+    """,
 }
