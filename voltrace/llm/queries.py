@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .idfile import read_id_files, write_id_files
 from .licenses import PHRASES, TEMPLATES, scan_licenses
 from .licenses import vocabulary as license_vocabulary
+from .mixing import mix_sources
 from .packing import pack_documents
 from .quality import apply_quality_rules
+from .sharding import assign_shards, fill_table
 from .simhash import near_duplicates
 from .substrings import remove_repeats
 from .topk import top_k_inner_products
@@ -36,12 +38,31 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), capacity=2048, end_id=1)
 
 
+SHARDS = [f"shard-{i:02d}" for i in range(24)]
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "n_chars")
+    return assign_shards(docs, SHARDS, key_col="doc_id")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = remove_repeats(docs, window=35, rewrite_all=True)
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+ENTROPY = 0.97
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    mixed = mix_sources(docs, entropy=ENTROPY, seed=5, expand=False, prefix="mix_")
+    return mixed.select(
+        "doc_id", "source", F.col("mix_tokens").alias("n_tokens"), F.round("mix_weight", 9).alias("weight"), F.col("mix_copies").alias("copies")
+    )
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_id_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), end_id=2)
     return read_id_files(spark, manifest)
@@ -81,7 +102,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
+    "op3_sharding": op3_sharding,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_mixing": op5_mixing,
     "op6_token_files": op6_token_files,
     "op7_top_k": op7_top_k,
     "op8_quality_rules": op8_quality_rules,
@@ -105,6 +128,40 @@ _KNOWN = _values([(w,) for w in license_vocabulary(TEMPLATES, PHRASES)])
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_sharding": f"""
+        WITH t AS (SELECT {fill_table(SHARDS)} AS slots, {SHARDS} AS names),
+        d AS (
+            SELECT doc_id, source, lang, n_chars, ('0x' || md5(coalesce(doc_id::VARCHAR, ''))[1:12])::BIGINT % 65537 AS slot FROM documents
+        )
+        SELECT doc_id, source, lang, n_chars, slot::INTEGER AS slot, names[slots[slot + 1] + 1] AS shard FROM d, t
+    """,
+    "op5_mixing": rf"""
+        WITH RECURSIVE d AS (
+            SELECT row_number() OVER () AS r, doc_id, source, coalesce(source, '') AS src,
+                len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n
+            FROM documents
+        ),
+        s AS (SELECT src, sum(n)::BIGINT AS tokens, sum(n) / (SELECT sum(n)::DOUBLE FROM d) AS share FROM d GROUP BY src HAVING sum(n) > 0),
+        b(i, lo, hi) AS (
+            SELECT 0, 0::DOUBLE, 4::DOUBLE
+            UNION ALL
+            SELECT i + 1, if(h > {ENTROPY}::DOUBLE * ln(k), mid, lo), if(h > {ENTROPY}::DOUBLE * ln(k), hi, mid) FROM (
+                SELECT i, lo, hi, (lo + hi) / 2 AS mid, count(*) AS k,
+                    ln(sum(exp((lo + hi) / 2 * ln(share)))) - (lo + hi) / 2 * sum(exp((lo + hi) / 2 * ln(share)) * ln(share)) / sum(exp((lo + hi) / 2 * ln(share))) AS h
+                FROM b, s WHERE i < 32 GROUP BY i, lo, hi
+            )
+        ),
+        e AS (SELECT hi AS a FROM b WHERE i = 32),
+        w AS (SELECT src, tokens, exp(a * ln(share)) / (SELECT sum(exp(a * ln(share))) FROM s, e) AS weight FROM s, e),
+        g AS (SELECT src, tokens, weight, round(weight * (SELECT sum(tokens) FROM w))::BIGINT AS budget FROM w),
+        p AS (SELECT src, weight, budget // tokens AS passes, budget % tokens AS rest FROM g),
+        o AS (
+            SELECT r, sum(n) OVER (PARTITION BY d.src ORDER BY md5('5:' || passes || ':' || coalesce(doc_id::VARCHAR, ''))) AS run FROM d JOIN p USING (src)
+        )
+        SELECT doc_id, source, n AS n_tokens, coalesce(round(weight, 9), 0) AS weight,
+            (coalesce(passes, 1) + if(rest > 0 AND run <= rest, 1, 0))::BIGINT AS copies
+        FROM d LEFT JOIN p USING (src) LEFT JOIN o USING (r)
+    """,
     "op1_url_filter": rf"""
         WITH u AS (
             SELECT row_number() OVER () AS r, page_id,
