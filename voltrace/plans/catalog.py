@@ -1,10 +1,8 @@
-"""Named queries over the supplied tables, and the SQL that must give the same rows."""
+"""All named queries over the supplied tables, and the SQL that must give the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import targets  # noqa: F401  the modules enter their queries
+from .registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
