@@ -36,3 +36,15 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def bound_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
+    """Let Python workers get Arrow batches of at most about ``limit`` bytes (or one row), whatever the length of the texts.
+
+    This holds for the session from then on, as plans run after the operator that built them has returned.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    size = int(now) if now.isdigit() else int(now[:-1]) if now[-1:] == "b" and now[:-1].isdigit() else None
+    if size is None or size <= 0 or size > limit:
+        spark.conf.set(key, f"{limit}b")

@@ -24,7 +24,7 @@ def _power(step: int, n: int) -> np.ndarray:
     """step**0 .. step**(n-1) modulo 2**64; the longest so far is kept."""
     have = _powers.get(step)
     if have is None or len(have) < n:
-        size = max(n, 1 << 21)
+        size = 1 << max(n - 1, 1).bit_length()
         have = np.full(size, step, np.uint64)
         have[0] = 1
         have = _powers[step] = np.multiply.accumulate(have)
@@ -99,7 +99,7 @@ def _strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def chunks(column: pa.Array | pa.ChunkedArray, most: int = 2_000_000) -> Iterator[Chunk]:
+def chunks(column: pa.Array | pa.ChunkedArray, most: int = 1_000_000) -> Iterator[Chunk]:
     """The column's rows in order, in chunks of at most ``most`` bytes; a longer text is a chunk of its own."""
     for part in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
         if not len(part):

@@ -22,7 +22,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import new_path
+from ._store import bound_batches, new_path
 from ._tokens import packed_encoder, vocabulary
 
 MAGIC = b"VTIDEF01"
@@ -183,6 +183,7 @@ def write_id_files(
     before. One entry per file, so its size is that of the file list. An empty table gives [].
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     path = path or new_path(spark, "ids")
     vocab = tokenizer or vocabulary()
     fs, local = _store(path)

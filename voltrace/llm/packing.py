@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._store import bound_batches
 from ._tokens import packed_encoder, vocabulary
 
 #: Piece columns before packing; "ids" only on request.
@@ -120,6 +121,7 @@ def pack_documents(
     own. Ties in size are placed by doc_id, start and checksum. An empty table gives an empty result. Other columns,
     whatever their names, aren't read.
     """
+    bound_batches(docs.sparkSession)
     path = tokenizer or vocabulary()
     groups = max(1, -(-docs.count() // group_docs))
     kind = docs.schema[id_col].dataType.simpleString()

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import bound_batches
 from ._words import Chunk, chunks
 
 SYMBOLS = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
@@ -210,6 +211,7 @@ def apply_quality_rules(
     names = [prefix + x for x in ("kept", "failed", *measures)]
     if clash := {c.lower() for c in docs.columns} & set(names):
         raise ValueError(f"columns {sorted(clash)} are there already; choose another prefix")
+    bound_batches(docs.sparkSession)
     ordered = order_rules(sample_texts(docs, text_col, sample_rows, sample_chars), rules)
     labels = np.array([*(r.name for r in ordered), None], object)
     at = docs.columns.index(text_col)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import free_name, materialize
+from ._store import bound_batches, free_name, materialize
 from .components import connected_components
 
 BITS = 64
@@ -51,6 +51,7 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 def with_fingerprints(docs: DataFrame, text_col: str, name: str, shingle: int = 3, seed: int = 42) -> DataFrame:
     """docs with a long column ``name``: the fingerprint's 64 bits as a signed integer."""
+    bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     names = [*docs.columns, name]
 

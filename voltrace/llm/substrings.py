@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import free_name, materialize
+from ._store import bound_batches, materialize
 from ._words import _WORD_STEP, Chunk, chunks, range_hashes
 
 #: Bytes of text in a chunk, and windows in a bucket, about.
-CHUNK_BYTES, BUCKET_WINDOWS = 2_000_000, 1_500_000
+CHUNK_BYTES, BUCKET_WINDOWS = 1_000_000, 1_500_000
 _OTHER_STEP = 0x2545F4914F6CDD1D
 
 
@@ -190,6 +190,7 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", window: int = 35,
     names = ["n_words", "n_removed", "removed_spans"] if report else []
     if clash := {c.lower() for c in docs.columns} & set(names):
         raise ValueError(f"columns {sorted(clash)} are there already; use report=False")
+    bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

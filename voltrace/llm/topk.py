@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._store import bound_batches
+
 #: Rows of a candidate block, queries of a query block, dimensions accumulated between two bounds.
 CANDIDATES, QUERIES, DIMENSIONS = 4096, 512, 16
 #: Whole numbers beyond this could give scores that a long doesn't hold.
@@ -137,6 +139,7 @@ def top_k_inner_products(
     Queries and candidates are packed into blocks, and each pair of a query block and a candidate block is one row of
     work; a pair gives at most k rows a query, which are merged by rank.
     """
+    bound_batches(vectors.sparkSession)
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].alias("v")).where("id IS NOT NULL")
     asked = queries.select(queries[id_col].cast("long").alias("id"), queries[vector_col].alias("v")).where("id IS NOT NULL")
     asked = asked.groupBy("id").agg(F.min("v").alias("v"))
