@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltrace.operators import coverage, splits
+from voltrace.sources.staging import stage
 
 from . import base
 from .registry import query
@@ -16,15 +17,15 @@ EMBARGO, SEED = 30, 7
 def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls with an ok target and their customer as entity."""
     customers = base.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call_id"), F.col("o_custkey").alias("entity"))
-    return splits.load_cohort(base.targets(spark, sf_dir)).join(customers, "call_id")
+    return stage(splits.load_cohort(base.targets(spark, sf_dir)).join(customers, "call_id"), "cohort")
 
 
-def temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.temporal_split(cohort(spark, sf_dir), base.sessions(spark, sf_dir), EMBARGO)
+def temporal(spark: SparkSession, sf_dir: str, calls: DataFrame | None = None) -> DataFrame:
+    return splits.temporal_split(calls if calls is not None else cohort(spark, sf_dir), base.sessions(spark, sf_dir), EMBARGO)
 
 
-def disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.disjoint_split(cohort(spark, sf_dir), "entity", SEED)
+def disjoint(spark: SparkSession, sf_dir: str, calls: DataFrame | None = None) -> DataFrame:
+    return splits.disjoint_split(calls if calls is not None else cohort(spark, sf_dir), "entity", SEED)
 
 
 def sql_splits() -> str:
@@ -74,13 +75,15 @@ def split_ticker_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {sql_splits()} SELECT call_id, split FROM combined")
 def split_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.combined_split(temporal(spark, sf_dir), disjoint(spark, sf_dir))
+    calls = cohort(spark, sf_dir)
+    return splits.combined_split(temporal(spark, sf_dir, calls), disjoint(spark, sf_dir, calls))
 
 
 @query(f"""WITH {sql_splits()} SELECT 'temporal' AS scheme, split, count(*) AS n_calls FROM temporal GROUP BY split
     UNION ALL SELECT 'disjoint', split, count(*) FROM disjoint_ GROUP BY split UNION ALL SELECT 'combined', split, count(*) FROM combined GROUP BY split""")
 def split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, d = temporal(spark, sf_dir), disjoint(spark, sf_dir)
+    calls = cohort(spark, sf_dir)
+    t, d = temporal(spark, sf_dir, calls), disjoint(spark, sf_dir, calls)
     schemes = {"temporal": t, "disjoint": d, "combined": splits.combined_split(t, d)}
     out = None
     for name, found in schemes.items():
@@ -91,7 +94,8 @@ def split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 0::BIGINT AS entities_on_two_sides, 0::BIGINT AS calls_without_split, 0::BIGINT AS segments_too_close")
 def split_leakage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.leakage(cohort(spark, sf_dir), temporal(spark, sf_dir), disjoint(spark, sf_dir), "entity", base.sessions(spark, sf_dir))
+    calls = cohort(spark, sf_dir)
+    return splits.leakage(calls, temporal(spark, sf_dir, calls), disjoint(spark, sf_dir, calls), "entity", base.sessions(spark, sf_dir))
 
 
 def _universe(spark: SparkSession, sf_dir: str) -> DataFrame:
