@@ -200,7 +200,7 @@ ORACLE_SQL: dict[str, str] = {
                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ),
         s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
-        SELECT query_id, row_number() OVER k AS rank, vec_id, score FROM s
+        SELECT query_id, row_number() OVER k::INTEGER AS rank, vec_id, score FROM s
         WINDOW k AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 5
     """,
     "op8_quality_rules": rf"""
