@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,3 +49,32 @@ def bound_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
     size = int(now) if now.isdigit() else int(now[:-1]) if now[-1:] == "b" and now[:-1].isdigit() else None
     if size is None or size <= 0 or size > limit:
         spark.conf.set(key, f"{limit}b")
+
+
+def open_store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path and the path in it: a URI of any store that pyarrow knows, or a local path."""
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
+class BlobWriter:
+    """Blobs one after another in a file of its own name; a task that runs again writes another file."""
+
+    def __init__(self, folder: str):
+        self.path, self.at = f"{folder}/{uuid.uuid4().hex}.blobs", 0
+        fs, local = open_store(self.path)
+        self.out = fs.open_output_stream(local)
+
+    def add(self, blob: bytes) -> tuple[str, int, int]:
+        """(path, offset, length) under which the blob can be read once the file is closed."""
+        self.out.write(blob)
+        self.at += len(blob)
+        return self.path, self.at - len(blob), len(blob)
+
+    def close(self) -> None:
+        self.out.close()
+
+
+def read_blob(path: str, offset: int, length: int) -> bytes:
+    fs, local = open_store(path)
+    with fs.open_input_file(local) as f:
+        return f.read_at(length, offset)

@@ -18,11 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import bound_batches, new_path
+from ._store import bound_batches, new_path, open_store
 from ._tokens import packed_encoder, vocabulary
 
 MAGIC = b"VTIDEF01"
@@ -80,15 +79,11 @@ class Sequence:
         return int(self.slice(i, i + 1)[0])
 
 
-def _store(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-
-
 class IdFileWriter:
     """Write one file under a name of its own, then rename it: a task that is run again replaces the file with the same bytes."""
 
     def __init__(self, path: str, id_bytes: int):
-        self.fs, self.path = _store(path)
+        self.fs, self.path = open_store(path)
         self.temp, self.id_bytes = f"{self.path}.{uuid.uuid4().hex}.tmp", id_bytes
         self.out = self.fs.open_output_stream(self.temp)
         self.out.write(MAGIC)
@@ -126,7 +121,7 @@ class IdFile:
     """Read a file: its documents' numbers, places and ids, without reading ids that aren't asked for."""
 
     def __init__(self, path: str):
-        fs, path = _store(path)
+        fs, path = open_store(path)
         self.file = fs.open_input_file(path)
         size = self.file.size()
         tail = self._at(size - len(MAGIC) - 4, len(MAGIC) + 4)
@@ -186,7 +181,7 @@ def write_id_files(
     bound_batches(spark)
     path = path or new_path(spark, "ids")
     vocab = tokenizer or vocabulary()
-    fs, local = _store(path)
+    fs, local = open_store(path)
     fs.create_dir(local, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

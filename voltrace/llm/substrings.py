@@ -11,6 +11,9 @@ buckets by hash, each bucket holding a bounded number of windows whatever the si
 chunk of texts sends a bucket 3 bytes for each of its windows in a fixed order and gets back one bit for each; 3 bytes
 are a filter (false hits cost a comparison, no hit is lost), while the comparison of extended stretches uses 64 bits
 beside the bucket's own, drawn from an independent hash.
+
+The texts are packed once into files in shared storage, and the steps pass on the places of chunks in them: what Spark
+shuffles are hashes, bits and places, never texts.
 """
 
 from __future__ import annotations
@@ -22,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import bound_batches, materialize
+from ._store import BlobWriter, bound_batches, materialize, new_path, open_store, read_blob
 from ._words import _WORD_STEP, Chunk, chunks, range_hashes
 
 #: Bytes of text in a chunk, and windows in a bucket, about.
 CHUNK_BYTES, BUCKET_WINDOWS = 1_000_000, 1_500_000
+#: Chunks that one task works through, one at a time.
+TASK_CHUNKS = 16
 _OTHER_STEP = 0x2545F4914F6CDD1D
 
 
@@ -193,25 +198,35 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", window: int = 35,
     bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
+    folder = new_path(docs.sparkSession, "texts")
+    fs, local = open_store(folder)
+    fs.create_dir(local, recursive=True)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 32
+        number, out, found = TaskContext.get().partitionId() << 32, None, []
         for batch in batches:
             for part in chunks(batch.column(at), CHUNK_BYTES):
-                rows = batch.slice(part.first, part.docs)
-                rows = pa.Table.from_batches([rows]).combine_chunks().to_batches()[0]
-                yield pa.RecordBatch.from_pydict({"chunk": [number], "words": [int(part.n_words.sum())], "rows": pa.array([_pack_rows(rows)], pa.binary())})
+                out = out or BlobWriter(folder)
+                rows = pa.Table.from_batches([batch.slice(part.first, part.docs)]).combine_chunks().to_batches()[0]
+                found.append((number, int(part.n_words.sum()), *out.add(_pack_rows(rows))))
                 number += 1
+        if out is not None:  # rows that tell the places of texts go out when the file is whole
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["chunk", "words", "path", "offset", "length"])
 
     texts = docs.withColumn(text_col, docs[text_col].cast("string")) if dict(docs.dtypes)[text_col] != "string" else docs
-    table = materialize(texts.mapInArrow(cut, "chunk long, words long, rows binary"), "chunks")
-    buckets = max(1, -(-(table.agg(F.sum("words")).first()[0] or 0) // BUCKET_WINDOWS))
+    table = materialize(texts.mapInArrow(cut, "chunk long, words long, path string, offset long, length long"), "chunks")
+    n_chunks, n_words = table.agg(F.count("*"), F.sum("words")).first()
+    buckets = max(1, -(-(n_words or 0) // BUCKET_WINDOWS))
+    # rows of places are small but stand for much work, so they are dealt by number and not by their bytes
+    tasks = max(1, min(-(-n_chunks // TASK_CHUNKS), 50_000))
 
     def each(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple]:
         for batch in batches:
             for i in range(batch.num_rows):
-                rows = _unpack_rows(batch.column("rows")[i].as_py())
+                rows = _unpack_rows(read_blob(*(batch.column(c)[i].as_py() for c in ("path", "offset", "length"))))
                 for chunk in chunks(rows.column(at), 1 << 62):
                     yield batch.column("chunk")[i].as_py(), rows, _Windows(chunk, window, buckets), *(_dict(batch.column(c)[i].as_py()) for c in columns)
 
@@ -254,11 +269,11 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", window: int = 35,
             yield pa.RecordBatch.from_arrays(columns, names=[*rows.schema.names, *names])
 
     def meet(step: Callable, frame: DataFrame, compare: Callable) -> DataFrame:
-        return frame.mapInArrow(step, _PROBE).groupBy("bucket").applyInArrow(compare, _MARK)
+        return frame.repartition(tasks).mapInArrow(step, _PROBE).groupBy("bucket").applyInArrow(compare, _MARK)
 
     hits = _by_chunk(materialize(meet(probe, table, _hit_blocks), "block-hits"), "hits")
     found = table.join(hits, "chunk")
     repeats = _by_chunk(materialize(meet(extend, found, _hit_stretches), "stretch-hits"), "repeats")
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in texts.schema)
     schema += ", n_words long, n_removed long, removed_spans array<struct<start: long, end: long>>" * report
-    return table.join(hits, "chunk", "left").join(repeats, "chunk", "left").mapInArrow(remove, schema)
+    return table.join(hits, "chunk", "left").join(repeats, "chunk", "left").repartition(tasks).mapInArrow(remove, schema)
