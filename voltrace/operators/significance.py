@@ -107,8 +107,8 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, resamples: int
     Rows are summed by cluster first; a replicate draws as many clusters as there are, with replacement, by a hash of
     (seed, replicate, draw), so the draws are the same on every run. Without rows: NULL.
     """
-    sums = rows.dropna(subset=[value, cluster]).groupBy(cluster).agg(F.sum(value).alias("s"), F.count("*").alias("c"))
-    numbered = sums.withColumn("i", F.row_number().over(Window.orderBy(cluster)) - 1)
+    sums = rows.dropna(subset=[value, cluster]).groupBy(F.col(cluster).alias("cluster")).agg(F.sum(value).alias("s"), F.count("*").alias("c"))
+    numbered = sums.withColumn("i", F.row_number().over(Window.orderBy("cluster")) - 1)
     k = numbered.agg(F.count("*").alias("k"), (F.sum("s") / F.sum("c")).alias("point"), F.sum("c").alias("n"))
     draws = numbered.select(F.col("i").alias("draw")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).join(F.broadcast(k))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("draw").cast("string")).cast("binary"))
