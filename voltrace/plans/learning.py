@@ -65,8 +65,8 @@ def vector_l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.round(norm, 6).alias("norm"), (F.round(F.get(assembly.l2_normalized(F.col("embedding")), F.lit(0)), 6) + F.lit(0.0)).alias("first_component"))
 
 
-@query(f"""WITH {evaluation._SQL}, m AS (SELECT quantile_cont(rv_monthly, 0.5) FILTER (WHERE segment = 'train') AS med FROM feat)
-    SELECT call_id, horizon, round(coalesce(CASE WHEN call_id % 4 <> 0 THEN rv_monthly END, m2.med), 9) AS rv_monthly FROM feat, (SELECT quantile_cont(CASE WHEN call_id % 4 <> 0 THEN rv_monthly END, 0.5) FILTER (WHERE segment = 'train') AS med FROM feat) m2""")
+@query(f"""WITH {evaluation._SQL}
+    SELECT call_id, horizon, round(coalesce(CASE WHEN call_id % 4 <> 0 THEN rv_monthly END, m2.med, 0), 9) AS rv_monthly FROM feat, (SELECT quantile_cont(CASE WHEN call_id % 4 <> 0 THEN rv_monthly END, 0.5) FILTER (WHERE segment = 'train') AS med FROM feat) m2""")
 def median_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = evaluation.features(spark, sf_dir).withColumn("rv_monthly", F.when(F.col("call_id") % 4 != 0, F.col("rv_monthly")))
     found = assembly.impute_medians(rows, ["rv_monthly"], F.col("segment") == "train")

@@ -40,7 +40,7 @@ def stage_grid_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select("stage", "horizon", "segment", "target", "model", *base.r6("mse", "r2_oos"))
 
 
-@query(f"""WITH {_CELLS} SELECT count(*) AS cells, count_if(a < b)::BIGINT AS wins, count(*) - count_if(a < b) <= 1 AS passes FROM (
+@query(f"""WITH {_CELLS} SELECT count(*) AS cells, count_if(coalesce(a < b, false))::BIGINT AS wins, count(*) - count_if(coalesce(a < b, false)) <= 1 AS passes FROM (
     SELECT horizon, max(mse) FILTER (WHERE model = 'har') AS a, max(mse) FILTER (WHERE model = 'persistence') AS b FROM cells WHERE segment = 'test' AND target = 'v' GROUP BY horizon)""")
 def baseline_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the autoregression beats persistence at all horizons but at most one."""
