@@ -25,6 +25,13 @@ _SPLIT = re.compile(
 _UNUSUAL = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ɏ–—‘’“”…€]")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter for each byte in a byte-level vocabulary: itself where it prints in Latin-1, else the next from U+0100."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) if b in prints else chr(256 + others.index(b)) for b in range(256)}
+
+
 class PackedEncoder:
     """encode(texts): for each text its ids as little-endian unsigned 32-bit integers in one bytes object."""
 
@@ -42,6 +49,7 @@ class PackedEncoder:
         self.splits = (
             pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not kind.get("normalizer")
         )
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.max_entries = max_entries
         #: Two generations: a full memo becomes the old one, from which what is met again moves on.
         self.memo: dict[str, bytes] = {}
@@ -50,6 +58,10 @@ class PackedEncoder:
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _merge(self, part: str) -> bytes:
+        """The ids of one pre-token, by the library's model alone."""
+        return array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
     def _one(self, text: str) -> bytes:
         if not self.splits or _UNUSUAL.search(text):
             return self._ask([text])[0]
@@ -59,8 +71,7 @@ class PackedEncoder:
                 self.old, self.memo, new = self.memo, {}, set(parts)
             old = self.old
             self.memo.update((x, old[x]) for x in new if x in old)
-            asked = [x for x in new if x not in old]
-            self.memo.update(zip(asked, self._ask(asked), strict=True))
+            self.memo.update((x, self._merge(x)) for x in new if x not in old)
         return b"".join(map(self.memo.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
