@@ -163,6 +163,12 @@ def test_license_scan_matches_plain_search(spark):
         assert r["score"] == max((h[2] for h in hits), default=0.0)
 
 
+def test_a_notice_that_most_documents_hold_is_found(spark):
+    given = [(i, "This work is licensed under the GNU General Public License, version 3." if i % 2 else "plain words") for i in range(20)]
+    found = licenses.scan_licenses(spark.createDataFrame(given, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["labels"], r["score"]) for r in found} == {i: ("gpl-3", 1.0) if i % 2 else ("", 0.0) for i in range(20)}
+
+
 def test_license_scan_of_nothing(spark):
     assert licenses.scan_licenses(no_documents(spark)).collect() == []
     with pytest.raises(ValueError):

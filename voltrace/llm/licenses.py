@@ -84,15 +84,13 @@ def scan_licenses(
     templates: tuple[Template, ...] = TEMPLATES,
     phrases: tuple[tuple[str, str], ...] = PHRASES,
     rarest: int = 8,
-    common: int = 5,
     prefix: str = "",
 ) -> DataFrame:
     """docs without ``text_col``, with ``{prefix}`` n_words, places (array of phrase label and first word number), found
     (array of template label, first word number and the share of its words that stand there), base_labels and labels
     (strings, distinct, sorted, comma-joined) and score (the largest share, else 0).
 
-    A file's anchors are its ``rarest`` license words by document frequency, ties by the word; words that more than one
-    in ``common`` documents hold are no anchors. Null and empty texts have no words, no labels and score 0. Repeated rows
+    A file's anchors are its ``rarest`` license words by document frequency, ties by the word, however common. Null and empty texts have no words, no labels and score 0. Repeated rows
     get equal results, an empty table stays empty. Names that are taken are an error; choose a prefix.
     """
     names = [prefix + x for x in ("n_words", "places", "found", "base_labels", "labels", "score")]
@@ -100,10 +98,10 @@ def scan_licenses(
         raise ValueError(f"columns {sorted(clash)} are there already; choose a prefix")
     known = vocabulary(templates, phrases)
     words = license_words(docs[text_col])
-    counts = docs.select(F.explode(F.array_append(F.array_intersect(words, _strings(known)), F.lit(""))).alias("w")).groupBy("w").count()
-    held = {r["w"]: r["count"] for r in counts.collect()}  # a row for each license word, and "" for all documents
-    total, of = held.get("", 0), {w: held.get(w, 0) for w in known}
-    ranked = [w for w in sorted(known, key=lambda w: (of[w], w)) if of[w] * common <= total]
+    counts = docs.select(F.explode(F.array_intersect(words, _strings(known))).alias("w")).groupBy("w").count()
+    held = {r["w"]: r["count"] for r in counts.collect()}  # a row for each license word
+    of = {w: held.get(w, 0) for w in known}
+    ranked = sorted(known, key=lambda w: (of[w], w))
     # a text with a phrase or template's key holds its rarest word, so other texts need no look at positions
     gate = sorted({min(p.split(), key=lambda w: (of[w], w)) for p in [p for _, p in phrases] + [t.key for t in templates]})
 
