@@ -169,6 +169,13 @@ def test_a_notice_that_most_documents_hold_is_found(spark):
     assert {r["doc_id"]: (r["labels"], r["score"]) for r in found} == {i: ("gpl-3", 1.0) if i % 2 else ("", 0.0) for i in range(20)}
 
 
+def test_a_file_of_many_notices_keeps_every_license(spark):
+    text = " ".join(t.wording for t in licenses.TEMPLATES)
+    given = [(0, text)] + [(i, "licensed under cc by 4 0 sa") for i in range(1, 9)]
+    found = licenses.scan_licenses(spark.createDataFrame(given, "doc_id long, text string")).where("doc_id = 0").first()
+    assert found["labels"] == ",".join(sorted(t.label for t in licenses.TEMPLATES)) and found["score"] == 1.0
+
+
 def test_license_scan_of_nothing(spark):
     assert licenses.scan_licenses(no_documents(spark)).collect() == []
     with pytest.raises(ValueError):

@@ -1,9 +1,9 @@
 """License scans: a positional index of rare license words, intersected by relative position, confirmed by key phrases.
 
 Every template is a short wording with a mandatory key phrase. The index lists for each word where it stands in which
-template. How many documents hold each of the templates' words is counted over the whole corpus; a file then looks up
-its rarest (highest-IDF) license words, every place of such a word votes for a template starting so many words before,
-and a start counts as found if the template's key phrase stands there word for word. Built of DataFrame functions only;
+template. How many documents hold each of the templates' words is counted over the whole corpus; every place of the
+rarest (highest-IDF) word of a template's key phrase votes for the template starting so many words before, and a start
+counts as found if the key phrase stands there word for word. Built of DataFrame functions only;
 what goes to the driver is one count for each word of the templates.
 """
 
@@ -83,14 +83,13 @@ def scan_licenses(
     text_col: str = "text",
     templates: tuple[Template, ...] = TEMPLATES,
     phrases: tuple[tuple[str, str], ...] = PHRASES,
-    rarest: int = 8,
     prefix: str = "",
 ) -> DataFrame:
     """docs without ``text_col``, with ``{prefix}`` n_words, places (array of phrase label and first word number), found
     (array of template label, first word number and the share of its words that stand there), base_labels and labels
     (strings, distinct, sorted, comma-joined) and score (the largest share, else 0).
 
-    A file's anchors are its ``rarest`` license words by document frequency, ties by the word, however common. Null and empty texts have no words, no labels and score 0. Repeated rows
+    The anchor of a template is the rarest word of its key phrase by document frequency, ties by the word. Null and empty texts have no words, no labels and score 0. Repeated rows
     get equal results, an empty table stays empty. Names that are taken are an error; choose a prefix.
     """
     names = [prefix + x for x in ("n_words", "places", "found", "base_labels", "labels", "score")]
@@ -101,11 +100,10 @@ def scan_licenses(
     counts = docs.select(F.explode(F.array_intersect(words, _strings(known))).alias("w")).groupBy("w").count()
     held = {r["w"]: r["count"] for r in counts.collect()}  # a row for each license word
     of = {w: held.get(w, 0) for w in known}
-    ranked = sorted(known, key=lambda w: (of[w], w))
     # a text with a phrase or template's key holds its rarest word, so other texts need no look at positions
     gate = sorted({min(p.split(), key=lambda w: (of[w], w)) for p in [p for _, p in phrases] + [t.key for t in templates]})
 
-    row_words, spots, anchors = (free_name(docs, x) for x in ("words", "spots", "anchors"))
+    row_words, spots = (free_name(docs, x) for x in ("words", "spots"))
     w, at = F.col(row_words), F.col(spots)
     none = F.array().cast("array<struct<p:int,w:string>>")
     numbered = F.transform(w, lambda x, i: F.struct(i.alias("p"), x.alias("w")))
@@ -121,12 +119,11 @@ def scan_licenses(
 
     places = F.concat(F.array().cast("array<struct<label:string,p:int>>"), *(phrase_places(*x) for x in phrases))
 
-    mine = F.filter(_strings(ranked), lambda x: F.exists(at, lambda s: s["w"] == x))  # rarest first
-    frame = frame.withColumn(anchors, F.when(F.size(at) > 0, F.slice(mine, 1, rarest)).otherwise(F.array().cast("array<string>")))
     def template_places(t: Template) -> Column:
-        posts = F.filter(at, lambda s: F.array_contains(_strings(sorted(set(t.words))), s["w"]) & F.array_contains(F.col(anchors), s["w"]))
-        offsets = F.transform(posts, lambda s: F.filter(F.array(*(F.when(s["w"] == x, s["p"] - q) for q, x in enumerate(t.words))), lambda p: p.isNotNull()))
-        sure = F.filter(F.array_distinct(F.flatten(offsets)), lambda p: (p + t.key_at >= 0) & _stand(w, p + t.key_at, t.key.split()))
+        want = t.key.split()
+        lead = want.index(min(want, key=lambda x: (of[x], x)))
+        sure = F.filter(at, lambda s: (s["w"] == want[lead]) & _stand(w, s["p"] - lead, want))
+        sure = F.transform(sure, lambda s: s["p"] - lead - t.key_at)
 
         def share(p: Column) -> Column:
             hits = [F.when((p + j >= 0) & (F.get(w, p + j) == x), 1).otherwise(0) for j, x in enumerate(t.words)]
@@ -137,7 +134,7 @@ def scan_licenses(
     found = F.concat(F.array().cast("array<struct<label:string,p:int,share:double>>"), *(template_places(t) for t in templates))
 
     out = frame.withColumns({names[0]: F.size(w).cast("long"), names[1]: F.when(F.size(at) > 0, places).otherwise(F.array().cast("array<struct<label:string,p:int>>"))})
-    out = out.withColumn(names[2], F.when(F.size(anchors) > 0, found).otherwise(F.array().cast("array<struct<label:string,p:int,share:double>>")))
+    out = out.withColumn(names[2], F.when(F.size(at) > 0, found).otherwise(F.array().cast("array<struct<label:string,p:int,share:double>>")))
     base = F.transform(F.col(names[1]), lambda s: s["label"])
     both = F.concat(base, F.transform(F.col(names[2]), lambda s: s["label"]))
     out = out.withColumns(
@@ -147,4 +144,4 @@ def scan_licenses(
             names[5]: F.coalesce(F.array_max(F.transform(F.col(names[2]), lambda s: s["share"])), F.lit(0.0)),
         }
     )
-    return out.drop(row_words, spots, anchors)
+    return out.drop(row_words, spots)
