@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+from voltrace.llm._store import quoted
+
 #: Columns that operators use inside under these or like names.
-CLASHES = ["row_number", "fp", "key", "grp", "chunk", "words", "spots", "anchors", "start", "place", "bucket", "best", "page", "e", "n"]
+CLASHES = ["row_number", "fp", "key", "grp", "chunk", "words", "spots", "anchors", "start", "place", "bucket", "best", "page", "e", "n", "message", "digest", "rule_1_4", "a.b", "x`y.z"]
 
 
 def words(rng: random.Random, n: int, size: int = 400) -> list[str]:
@@ -41,6 +43,7 @@ def texts() -> list[str | None]:
         "SHOUTING " * 80,
         "\n".join(["same line here"] * 30),
         "a b\x1cc\x85d " + prose[8],
+        "ends <|endoftext|> within <|endoftext|>a " + prose[7],
         *prose[9:],
     ]
 
@@ -53,7 +56,7 @@ def rows() -> list[tuple]:
     return [*out, out[6], out[6], out[9], (7_000_000_000, texts()[6], "de", "", *([1] * len(CLASHES)))]
 
 
-SCHEMA = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` long" for c in CLASHES)
+SCHEMA = "doc_id long, text string, lang string, source string, " + ", ".join(f"{quoted(c)} long" for c in CLASHES)
 
 
 def documents(spark):

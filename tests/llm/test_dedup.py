@@ -58,6 +58,26 @@ def test_repeats_at_every_alignment(spark, monkeypatch):
     check_repeats(found, given)
 
 
+def test_structured_words_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 20_000)
+    marks = ["".join("ab"[bin(i).count("1") % 2 ^ k] for i in range(1024)) for k in (0, 1)]
+    rest = [f"w{i}" for i in range(34)]
+    given = [(0, " ".join([*rest, marks[0]])), (1, " ".join([*rest, marks[1]])), (2, " ".join([marks[0], *rest])), (3, " ".join([marks[0], *rest]))]
+    runs = [" ".join("ab"[bin(i).count("1") % 2 ^ k] for i in range(64)) for k in (0, 1)]
+    given += [(4, runs[0]), (5, runs[1]), (6, runs[0][:80])]
+    found = substrings.remove_repeats(spark.createDataFrame(given, "doc_id long, text string").repartition(3), rewrite_all=True).collect()
+    check_repeats(found, given)
+    assert [r["n_removed"] for r in sorted(found, key=lambda r: r["doc_id"])][:4] == [0, 0, 35, 35]
+
+
+def test_a_footer_in_every_text_is_an_entry_a_message(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 3_000)
+    footer = " ".join(f"f{i}" for i in range(50))
+    given = [(i, f"own{i} words{i} {footer}") for i in range(400)]
+    found = substrings.remove_repeats(spark.createDataFrame(given, "doc_id long, text string").repartition(2), rewrite_all=True).collect()
+    assert {r["text"] for r in found} == {f"own{i} words{i}" for i in range(400)}
+
+
 def test_unchanged_texts_stay_as_they_were(spark):
     docs = documents(spark)
     found = substrings.remove_repeats(docs, report=False)

@@ -2,26 +2,51 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_made: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests, local mode) a new local one, set for the session."""
+    """The folder in ``spark.checkpoint.dir`` as a URI; where that is unset (tests, local mode) a new local one, set for the session.
+
+    A path without a scheme belongs to Spark's default file system, so it is completed by Spark: workers that read it
+    through pyarrow then see the same files.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="voltrace-")
+        _made.add(path)
         spark.conf.set("spark.checkpoint.dir", path)
+    if "://" not in path:
+        given = spark._jvm.org.apache.hadoop.fs.Path(path)
+        path = given.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(given).toString()
     return path.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/voltrace/{name}-{uuid.uuid4().hex}"
+    """A new place in shared storage; what lies there is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/voltrace/{name}-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
+
+
+@atexit.register
+def _remove_made() -> None:
+    for path in _made:
+        try:
+            fs, local = open_store(path)
+            fs.delete_dir(local)
+        except OSError:  # never written, or gone with its parent
+            continue
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -39,6 +64,25 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df by their names, whatever characters those have."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def field_list(df: DataFrame) -> str:
+    """df's schema as DDL, whatever characters its names have."""
+    return ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema)
+
+
+def plain_names(df: DataFrame) -> DataFrame:
+    """df with columns named by their places, as Arrow functions can't be given names with dots or backticks."""
+    return df.toDF(*(f"_column_{i}" for i in range(len(df.columns))))
+
+
 def bound_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
     """Let Python workers get Arrow batches of at most about ``limit`` bytes (or one row), whatever the length of the texts.
 
@@ -53,6 +97,8 @@ def bound_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
 
 def open_store(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path and the path in it: a URI of any store that pyarrow knows, or a local path."""
+    for scheme in ("s3a://", "s3n://"):  # Hadoop's names of one store
+        path = path.replace(scheme, "s3://", 1) if path.startswith(scheme) else path
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 

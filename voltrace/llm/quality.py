@@ -1,15 +1,15 @@
 """Quality rules as a short-circuit cascade: the rule that rejects most for its cost goes first.
 
-The measures are cheap sums over the bytes of a text or, for repeats, sorts of line and window hashes. Each rule names
-the measures that it needs and a predicate over them. On a bounded sample every rule's cost (time of its measures for
-each byte) and selectivity (share of texts that it rejects) are estimated; rules are then ordered by rejection per cost,
-and each rule measures only the texts that all rules before it let through. The order changes the work and which rule a
-text fails first, never the verdict.
+The measures are cheap sums over the bytes of a text or, for repeats, sorts of line and word numbers, which are equal
+where and only where the bytes are. Each rule names the measures that it needs and a predicate over them. On a bounded
+sample every rule's cost (the counted steps of those of its measures that no rule before it has taken) and selectivity
+(share of texts that it rejects) are estimated; rules are then ordered by rejection per cost, and each rule measures only
+the texts that all rules before it let through. The order changes the work and which rule a text fails first, never the
+verdict; as steps are counted and not timed, the same table has the same order on every machine.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import bound_batches
-from ._words import Chunk, chunks
+from ._store import bound_batches, columns, field_list, plain_names
+from ._words import SPACE, Chunk, chunks, exact_ids
 
 SYMBOLS = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
 _LOWER = np.isin(np.arange(256), np.arange(ord("a"), ord("z") + 1))
@@ -42,8 +42,6 @@ def _n_words(chunk: Chunk) -> np.ndarray:
 
 def _word_chars(chunk: Chunk) -> np.ndarray:
     """Code points that stand in words: bytes that begin a character and aren't spaces."""
-    from ._words import SPACE
-
     return _by_doc(chunk, ((chunk.data & 0xC0) != 0x80) & ~SPACE[chunk.data])
 
 
@@ -71,11 +69,11 @@ def _lines(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[worded], starts[worded], ends[worded]
 
 
-def _repeats(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each item: whether its key stands earlier in its document, and whether it stands twice there or more."""
-    order = np.lexsort((key, doc))
-    same = (doc[order][1:] == doc[order][:-1]) & (key[order][1:] == key[order][:-1])
-    later, any_ = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
+def _repeats(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each item: whether one with the same keys stands before it, and whether its keys stand twice or more."""
+    order = np.lexsort(keys)
+    same = np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys])
+    later, any_ = np.zeros(len(order), bool), np.zeros(len(order), bool)
     later[order[1:][same]] = True
     any_[order[1:][same]] = True
     any_[order[:-1][same]] = True
@@ -88,7 +86,7 @@ def _n_lines(chunk: Chunk) -> np.ndarray:
 
 def _n_dup_lines(chunk: Chunk) -> np.ndarray:
     doc, starts, ends = _lines(chunk)
-    later, _ = _repeats(doc, chunk.byte_hashes(starts, ends)) if len(doc) else (np.zeros(0, bool), None)
+    later, _ = _repeats(exact_ids(chunk.data, starts, ends), doc)
     return np.bincount(doc[later], minlength=chunk.docs)
 
 
@@ -97,7 +95,15 @@ def _n_repeat_words(chunk: Chunk, k: int = 3) -> np.ndarray:
     at = chunk.windows(k)
     covered = np.zeros(len(chunk.starts), bool)
     if len(at):
-        _, twice = _repeats(chunk.doc_of_word()[at], chunk.window_hashes(k, at))
+        ids = chunk.word_ids()
+        many, key, keys = int(ids.max()) + 1, chunk.doc_of_word()[at], []
+        room = 2**62 // max(chunk.docs, many)
+        for i in range(k):  # as many numbers as fit go into one key
+            if room < many:
+                keys, key, room = [*keys, key], ids[at + i], 2**62 // many
+            else:
+                key, room = key * many + ids[at + i], room // many
+        _, twice = _repeats(*keys, key)
         for i in range(k):
             covered[at[twice] + i] = True
     total = np.concatenate([[0], np.cumsum(covered)])
@@ -115,6 +121,25 @@ MEASURES: dict[str, Callable[[Chunk], np.ndarray]] = {
 }
 
 
+def _sort_steps(n: int) -> float:
+    return n * np.log2(n + 2)
+
+
+def measure_steps(measure: str, chunk: Chunk) -> float:
+    """About how many elementary steps a measure of a chunk takes: passes over bytes or words, and sorts."""
+    size, words = len(chunk.data), len(chunk.starts)
+    steps = {
+        "n_words": lambda: chunk.docs,
+        "word_chars": lambda: 4 * size,
+        "n_symbols": lambda: 2 * size,
+        "n_upper": lambda: 4 * size + 6 * words,
+        "n_lines": lambda: 2 * size + _sort_steps(int((chunk.data == 10).sum()) + chunk.docs),
+        "n_dup_lines": lambda: 3 * size + 3 * _sort_steps(int((chunk.data == 10).sum()) + chunk.docs),
+        "n_repeat_words": lambda: size + 20 * words + 3 * _sort_steps(words),
+    }
+    return float(steps[measure]() if measure in steps else size)
+
+
 @dataclass(frozen=True)
 class Rule:
     """Rejects texts for which ``rejects`` of the measures holds."""
@@ -170,24 +195,41 @@ def cascade(chunk: Chunk, rules: tuple[Rule, ...], also: tuple[str, ...] = ()) -
 
 
 def order_rules(texts: list[str], rules: tuple[Rule, ...] = RULES) -> tuple[Rule, ...]:
-    """The rules by rejection per cost on the sampled texts, the best first; ties and an empty sample keep the given order."""
-    parts = list(chunks(pa.array(texts, pa.string())))
-    size = sum(len(p.data) for p in parts)
-    if not size:
-        return rules
-    score = {}
-    for rule in rules:
-        began, rejected = time.perf_counter(), 0
-        for part in parts:
-            rejected += int(rule.rejects(*(MEASURES[m](part) for m in rule.needs)).sum())
-        score[rule.name] = (rejected / len(texts)) / max(time.perf_counter() - began, 1e-6)
-    return tuple(sorted(rules, key=lambda r: -score[r.name]))
+    """The rules by rejection per cost on the sampled texts, the best first; ties and an empty sample keep the given order.
 
+    The next rule is the one that rejects most of the texts still left for each step of the measures not yet taken.
+    """
+    parts = [p for p in chunks(pa.array(texts, pa.string())) if len(p.data)]
+    if not parts:
+        return rules
+    found = {r.name: np.concatenate([r.rejects(*(MEASURES[m](p) for m in r.needs)) for p in parts]) for r in rules}
+    steps = {m: sum(measure_steps(m, p) for p in parts) for r in rules for m in r.needs}
+    taken: set[str] = set()
+    left = np.ones(sum(p.docs for p in parts), bool)
+    rest, out = list(rules), []
+    while rest:
+        cost = [sum(steps[m] for m in set(r.needs) - taken) + left.sum() + 1 for r in rest]
+        best = max(range(len(rest)), key=lambda i: ((found[rest[i].name] & left).sum() / cost[i], -i))
+        rule = rest.pop(best)
+        out.append(rule)
+        taken |= set(rule.needs)
+        left &= ~found[rule.name]
+    return tuple(out)
+
+
+def sample_texts(docs: DataFrame, text_col: str, rows: int, chars: int, each: int = 16) -> list[str]:
+    """At most ``rows`` texts, cut to ``chars`` characters, for the estimates alone: of the first ``each`` rows of every
+    partition those with the smallest hashes, so all parts of the table are asked and none is read further."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = 0
+        for batch in batches:
+            if found < each:  # what follows is passed over unread
+                yield batch.slice(0, each - found)
+                found += batch.num_rows
 
-def sample_texts(docs: DataFrame, text_col: str, rows: int, chars: int) -> list[str]:
-    """At most ``rows`` texts from the input's first rows, cut to ``chars`` characters: for the estimates alone."""
-    some = docs.select(F.substring(docs[text_col].cast("string"), 1, chars).alias("t")).limit(rows).collect()
-    return [r["t"] or "" for r in some]
+    some = docs.select(F.substring(docs[text_col].cast("string"), 1, chars).alias("t")).mapInArrow(first, "t string")
+    return [r["t"] or "" for r in some.orderBy(F.xxhash64("t"), "t").limit(rows).collect()]
 
 
 def apply_quality_rules(
@@ -226,12 +268,12 @@ def apply_quality_rules(
                 new += [pa.array(found[m].astype(np.int64)) for m in measures]
                 yield pa.RecordBatch.from_arrays([*rows.columns, *new], names=[*rows.schema.names, *names])
 
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
     text = docs.withColumn(text_col, docs[text_col].cast("string")) if dict(docs.dtypes)[text_col] != "string" else docs
-    return text.mapInArrow(judge, f"{schema}, {added}")
+    text = plain_names(text)
+    return text.mapInArrow(judge, f"{field_list(text)}, {added}").toDF(*docs.columns, *names)
 
 
 def quality_filter(docs: DataFrame, **options) -> DataFrame:
     """The documents that no rule rejects, with their own columns only."""
     judged = apply_quality_rules(docs, prefix="_quality_", **options)
-    return judged.where(F.col("_quality_kept")).select(*docs.columns)
+    return judged.where(F.col("_quality_kept")).select(*columns(docs))

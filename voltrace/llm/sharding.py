@@ -13,7 +13,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import free_name
+from ._store import columns, free_name
 
 TABLE_SIZE = 65_537
 
@@ -63,4 +63,4 @@ def assign_shards(
     held = free_name(docs, "table_slot")
     table = docs.sparkSession.createDataFrame([(i, shards[n]) for i, n in enumerate(fill_table(shards, size))], f"`{held}` int, `{shard_name}` string")
     placed = docs.withColumn(slot_name, slot_of(docs[key_col], size))
-    return placed.join(F.broadcast(table), F.col(slot_name) == F.col(held)).select(*docs.columns, slot_name, shard_name)  # size rows, whatever the input
+    return placed.join(F.broadcast(table), F.col(slot_name) == F.col(held)).select(*columns(docs), slot_name, shard_name)  # size rows, whatever the input

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import bound_batches, free_name, materialize
+from ._store import bound_batches, columns, field_list, free_name, materialize, plain_names
 from .components import connected_components
 
 BITS = 64
@@ -53,17 +53,16 @@ def with_fingerprints(docs: DataFrame, text_col: str, name: str, shingle: int =
     """docs with a long column ``name``: the fingerprint's 64 bits as a signed integer."""
     bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
-    names = [*docs.columns, name]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 values = np.array([fingerprint(x, shingle, seed) for x in part.column(at).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values.view(np.int64))], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values.view(np.int64))], names=[*part.schema.names, name])
 
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(add, f"{schema}, `{name}` long")
+    plain = plain_names(docs)
+    return plain.mapInArrow(add, f"{field_list(plain)}, `{name}` long").toDF(*docs.columns, name)
 
 
 def _pair_counts(prints: DataFrame) -> tuple[int, np.ndarray]:
@@ -226,4 +225,4 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     fp, row = free_name(docs, "fp"), free_name(docs, "row_number")
     rows, classes = simhash_classes(docs, id_col=id_col, text_col=text_col, distance=distance, keep_columns=True)
     keep = classes.select(F.col("keep_row").alias(row)).distinct()
-    return rows.join(keep, row, "left_semi").drop(row, fp).select(*docs.columns)
+    return rows.join(keep, row, "left_semi").drop(row, fp).select(*columns(docs))
