@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -5,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from voltrace.llm import licenses, quality, sharding, urlfilter
+from voltrace.llm._store import quoted
 from voltrace.llm._words import chunks
 from voltrace.llm.queries import URL_RULES
 
@@ -83,6 +85,36 @@ def test_quality_rows(spark):
     assert kept.columns == documents(spark).columns and kept.count() == sum(w[-1] == "True" for w in want)
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_structured_words_and_lines_are_told_apart():
+    one, two = thue_morse(1024), thue_morse(1024, "b", "a")
+    given = [f"{one}\n{two}\n{one} x\n{two} x", " ".join([one, "x", "y", two, "x", "y"]), f"{one}\n{one}", "\n".join(["ab " * 100, "ab " * 99 + "ba "])]
+    spaced = thue_morse(4096, "a ", "b ")
+    given += [spaced, "\n".join([spaced, thue_morse(4096, "b ", "a ")])]
+    chunk = next(chunks(pa.array(given)))
+    for name in ("n_dup_lines", "n_repeat_words", "n_lines", "n_words"):
+        assert quality.MEASURES[name](chunk).tolist() == [plain_measures(t)[name] for t in given], name
+
+
+def test_equal_hashes_of_different_words_change_nothing(monkeypatch):
+    from voltrace.llm import _words
+
+    monkeypatch.setattr(_words, "span_hashes", lambda data, starts, ends: (ends - starts).astype("uint64") % 3)
+    column = pa.array([t for t in texts() if not t or len(t) < 50_000], pa.string())
+    chunk = next(chunks(column))
+    for name in ("n_dup_lines", "n_repeat_words"):
+        assert quality.MEASURES[name](chunk).tolist() == [plain_measures(t)[name] for t in column.to_pylist()], name
+
+
+def test_the_sample_is_taken_from_all_partitions(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(2000)], "doc_id long, text string").repartition(8)
+    some = quality.sample_texts(docs, "text", 100, 50)
+    assert len(some) == 100 == len(set(some)) and sorted(some) == sorted(quality.sample_texts(docs, "text", 100, 50))
+
+
 def test_quality_of_nothing_and_clashes(spark):
     assert quality.apply_quality_rules(no_documents(spark)).collect() == []
     with pytest.raises(ValueError):
@@ -104,13 +136,14 @@ URLS = [
 ]
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
-def test_url_rules_match_plain_search(spark, monkeypatch, limit):
+@pytest.mark.parametrize(("limit", "shapes"), [(100_000, 24), (100_000, 2), (0, 24)])
+def test_url_rules_match_plain_search(spark, monkeypatch, limit, shapes):
     monkeypatch.setattr(urlfilter, "BROADCAST_RULES", limit)
-    rules = [*URL_RULES, ("com", "/en/", "allow"), ("b.example.com", "/", "block"), ("", "/x", "block"), ("net", "", "block"), ("ORG", "/es/1", "allow")]
+    monkeypatch.setattr(urlfilter, "JOINED_SHAPES", shapes)
+    rules = [*URL_RULES, ("com", "/en/", "allow"), ("b.example.com", "/", "block"), ("", "/x", "block"), ("net", "", "block"), ("ORG", "/es/1", "allow"), ("example.co", "m/en", "block"), ("a.com", "", "allow")]
     lowered = [(h.lower(), p, max(v for a, b, v in rules if a.lower() == h.lower() and b == p)) for h, p, _ in rules]
     given = [(i if i != 3 else None, u, *([i] * len(CLASHES))) for i, u in enumerate(URLS)] + [(1, URLS[5], *([0] * len(CLASHES)))] * 2
-    pages = spark.createDataFrame(given, "page_id long, url string, " + ", ".join(f"`{c}` long" for c in CLASHES)).repartition(3)
+    pages = spark.createDataFrame(given, "page_id long, url string, " + ", ".join(f"{quoted(c)} long" for c in CLASHES)).repartition(3)
     found = urlfilter.filter_urls(pages, urlfilter.rule_table(spark, rules))
     want = sorted((str(r[0]), *map(str, plain_verdict(r[1], lowered))) for r in given)
     assert sorted((str(r["page_id"]), r["host"], r["path"], str(r["rule"]), r["verdict"]) for r in found.collect()) == want
@@ -128,30 +161,26 @@ def test_url_rules_of_nothing(spark):
 
 
 def plain_scan(given):
-    """n_words, places, found and score of each text, the method's steps in plain Python."""
+    """n_words, places and found of each text: every key phrase looked for at every word."""
     split = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in given]
-    known = set(licenses.vocabulary(licenses.TEMPLATES, licenses.PHRASES))
-    df = {k: sum(k in w for w in map(set, split)) for k in known}
     out = []
     for w in split:
         places = sorted((label, i) for label, p in licenses.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
-        anchors = [k for k in sorted(known & set(w), key=lambda k: (df[k], k)) if df[k] * 5 <= len(split)][:8]
-        found = set()
+        found = []
         for t in licenses.TEMPLATES:
             key = t.key.split()
-            for i, x in enumerate(w):
-                for q, y in enumerate(t.words):
-                    at = i - q + t.key_at
-                    if x == y and x in anchors and at >= 0 and w[at : at + len(key)] == key:
-                        hits = sum(0 <= i - q + j < len(w) and w[i - q + j] == v for j, v in enumerate(t.words))
-                        found.add((t.label, i - q, hits / len(t.words)))
+            for i in range(len(w)):
+                if w[i : i + len(key)] == key:
+                    s = i - t.key_at
+                    hits = sum(0 <= s + j < len(w) and w[s + j] == v for j, v in enumerate(t.words))
+                    found.append((t.label, s, hits / len(t.words)))
         out.append((len(w), places, sorted(found)))
     return out
 
 
 def test_license_scan_matches_plain_search(spark):
     extra = ["license version 3 " * 3, "gnu general public license version 2 and apache license version 2", "under the mit license under the mit license", "cc-by-nc", "the the the", "MIT LiKense"]
-    given = [r[1] for r in rows()] + extra * 2 + ["plain words here"] * 40
+    given = [r[1] for r in rows()] + extra * 2 + [t.wording for t in licenses.TEMPLATES] + [f"x {t.wording[9:]} y {t.key} z" for t in licenses.TEMPLATES]
     docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(given)], "doc_id long, text string, words long").repartition(3)
     found = sorted(licenses.scan_licenses(docs).collect(), key=lambda r: r["doc_id"])
     for r, (n, places, hits) in zip(found, plain_scan(given), strict=True):
@@ -163,17 +192,32 @@ def test_license_scan_matches_plain_search(spark):
         assert r["score"] == max((h[2] for h in hits), default=0.0)
 
 
-def test_a_notice_that_most_documents_hold_is_found(spark):
-    given = [(i, "This work is licensed under the GNU General Public License, version 3." if i % 2 else "plain words") for i in range(20)]
+GPL = "This work is licensed under the GNU General Public License, version 3."
+
+
+@pytest.mark.parametrize(("held", "of"), [(1, 1), (4, 4), (3, 10), (10, 20), (19, 20)])
+def test_a_notice_is_found_however_many_documents_hold_it(spark, held, of):
+    given = [(i, GPL if i < held else "plain words") for i in range(of)]
     found = licenses.scan_licenses(spark.createDataFrame(given, "doc_id long, text string")).collect()
-    assert {r["doc_id"]: (r["labels"], r["score"]) for r in found} == {i: ("gpl-3", 1.0) if i % 2 else ("", 0.0) for i in range(20)}
+    assert {r["doc_id"]: (r["labels"], r["score"]) for r in found} == {i: ("gpl-3", 1.0) if i < held else ("", 0.0) for i in range(of)}
+
+
+def test_planted_wordings_with_other_words_changed_are_found(spark):
+    rng = random.Random(8)
+    given = []
+    for t in licenses.TEMPLATES * 4:
+        words, key = t.words, range(t.key_at, t.key_at + len(t.key.split()))
+        words = [w if i in key or rng.random() < 0.7 else rng.choice(["foo", "license", "the"]) for i, w in enumerate(words)]
+        given.append((len(given), " ".join(f"w{rng.randrange(900)}" for _ in range(80)) + " " + rng.choice([", ", " ", "\n# "]).join(words).upper() + " tail", t.label))
+    found = licenses.scan_licenses(spark.createDataFrame(given, "doc_id long, text string, planted string")).collect()
+    assert [r for r in found if r["planted"] not in r["labels"].split(",")] == []
 
 
 def test_a_file_of_many_notices_keeps_every_license(spark):
     text = " ".join(t.wording for t in licenses.TEMPLATES)
     given = [(0, text)] + [(i, "licensed under cc by 4 0 sa") for i in range(1, 9)]
     found = licenses.scan_licenses(spark.createDataFrame(given, "doc_id long, text string")).where("doc_id = 0").first()
-    assert found["labels"] == ",".join(sorted(t.label for t in licenses.TEMPLATES)) and found["score"] == 1.0
+    assert found["labels"] == ",".join(sorted({t.label for t in licenses.TEMPLATES})) and found["score"] == 1.0
 
 
 def test_license_scan_of_nothing(spark):
@@ -214,3 +258,23 @@ def test_placement(spark):
     assert sharding.assign_shards(no_documents(spark), names, size=101).collect() == []
     with pytest.raises(ValueError):
         sharding.assign_shards(documents(spark).withColumnRenamed("lang", "Slot"), names)
+
+
+def test_lookup_table_matches_a_plain_fill():
+    """Shards in name order take turns; each claims the next free slot of its preference list."""
+    names, size = [f"shard-{i}" for i in range(7)], 211
+    order = sorted(range(7), key=lambda i: names[i])
+    lists = {}
+    for i in order:
+        digest = hashlib.md5(names[i].encode()).hexdigest()
+        offset, step = int(digest[:16], 16) % size, int(digest[16:], 16) % (size - 1) + 1
+        lists[i] = [(offset + j * step) % size for j in range(size)]
+    assert all(sorted(p) == list(range(size)) for p in lists.values())
+    want, at = [None] * size, dict.fromkeys(order, 0)
+    while None in want:
+        for i in order:
+            while at[i] < size and want[lists[i][at[i]]] is not None:
+                at[i] += 1
+            if at[i] < size:
+                want[lists[i][at[i]]] = i
+    assert sharding.fill_table(names, size) == want

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from .idfile import read_id_files, write_id_files
 from .licenses import PHRASES, TEMPLATES, scan_licenses
-from .licenses import vocabulary as license_vocabulary
 from .mixing import mix_sources
 from .packing import pack_documents
 from .quality import apply_quality_rules
@@ -119,10 +118,8 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
 
 
-_PHRASES = _values([(label, " ".join(p.split()), len(p.split())) for label, p in PHRASES])
-_TEMPLATES = _values([(t.label, t.wording, t.key, t.key_at, len(t.words), len(t.key.split())) for t in TEMPLATES])
-_POSTINGS = _values([(t.label, q, w) for t in TEMPLATES for q, w in enumerate(t.words)])
-_KNOWN = _values([(w,) for w in license_vocabulary(TEMPLATES, PHRASES)])
+_PHRASES = _values([(label, p, len(p.split())) for label, p in PHRASES])
+_TEMPLATES = _values([(i, t.label, t.wording, t.key, t.key_at, len(t.words), len(t.key.split())) for i, t in enumerate(TEMPLATES)])
 
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -213,8 +210,7 @@ ORACLE_SQL: dict[str, str] = {
         covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
         lines AS (
             SELECT r, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
-            WHERE regexp_matches(line, '[^ 	-
-]')
+            WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
         ),
         line_counts AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM lines GROUP BY r),
         m AS (
@@ -237,34 +233,22 @@ ORACLE_SQL: dict[str, str] = {
                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
             FROM documents
         ),
+        phrases(label, phrase, n) AS (VALUES {_PHRASES}),
+        templates(t, label, wording, key, key_at, n, key_n) AS (VALUES {_TEMPLATES}),
         w AS (
             SELECT r, i, word FROM (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM d)
-            WHERE word IN (SELECT col0 FROM (VALUES {_KNOWN}))
+            WHERE word IN (SELECT split_part(phrase, ' ', 1) FROM phrases UNION SELECT split_part(key, ' ', 1) FROM templates)
         ),
-        df AS (SELECT word, count(DISTINCT r) AS df FROM w GROUP BY word),
-        phrases(label, phrase, n) AS (VALUES {_PHRASES}),
-        templates(label, wording, key, key_at, n, key_n) AS (VALUES {_TEMPLATES}),
-        postings(label, q, word) AS (VALUES {_POSTINGS}),
         base AS (
             SELECT w.r, w.i, p.label FROM w JOIN phrases p ON split_part(p.phrase, ' ', 1) = w.word JOIN d USING (r)
             WHERE array_to_string(d.words[w.i + 1:w.i + p.n], ' ') = p.phrase
         ),
-        anchors AS (
-            SELECT r, word FROM (SELECT DISTINCT r, word FROM w) JOIN df USING (word)
-            WHERE df * 5 <= (SELECT count(*) FROM d)
-            QUALIFY row_number() OVER (PARTITION BY r ORDER BY df, word) <= 8
-        ),
-        starts AS (
-            SELECT DISTINCT w.r, p.label, w.i - p.q AS s FROM w JOIN anchors a ON a.r = w.r AND a.word = w.word JOIN postings p ON p.word = w.word
-        ),
         found AS (
-            SELECT s.r, s.label, s.s, t.n FROM starts s JOIN templates t USING (label) JOIN d USING (r)
-            WHERE s.s + t.key_at >= 0 AND array_to_string(d.words[s.s + t.key_at + 1:s.s + t.key_at + t.key_n], ' ') = t.key
-        ),
-        shares AS (
-            SELECT f.r, f.label, f.s, count(*) / any_value(f.n)::DOUBLE AS share
-            FROM found f JOIN postings p USING (label) JOIN w ON w.r = f.r AND w.i = f.s + p.q AND w.word = p.word GROUP BY f.r, f.label, f.s
+            SELECT w.r, t.label, w.i - t.key_at AS s, t.n, string_split(t.wording, ' ') AS wanted, d.words
+            FROM w JOIN templates t ON split_part(t.key, ' ', 1) = w.word JOIN d USING (r)
+            WHERE array_to_string(d.words[w.i + 1:w.i + t.key_n], ' ') = t.key
         ),
+        shares AS (SELECT r, label, len(list_filter(range(n), lambda j: s + j >= 0 AND words[s + j + 1] = wanted[j + 1])) / n::DOUBLE AS share FROM found),
         b AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r),
         l AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM base UNION SELECT r, label FROM found) GROUP BY r),
         c AS (SELECT r, max(share) AS score FROM shares GROUP BY r)
