@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -15,15 +16,17 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def plain_top(vectors, queries, k, scale=256):
     def whole(v):
-        if v is None or any(x is None or not math.isfinite(x) or abs(math.floor(scale * x)) > topk.LARGEST for x in v):
+        if v is None or any(x is None or not math.isfinite(x) for x in v):
             return None
-        return [math.floor(scale * x) for x in v]
+        return [math.floor(scale * Fraction(x)) for x in v]
 
     known = [(i, whole(v)) for i, v in vectors if i is not None]
     known = [(i, v) for i, v in known if v is not None]
     out = []
     for q in sorted(set(queries)):
-        own = min(v for i, v in known if i == q)
+        own = min((v for i, v in known if i == q), default=None)
+        if own is None:
+            continue
         scored = sorted((-sum(a * b for a, b in zip(own, v, strict=False)), i) for i, v in known if i != q)
         out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
     return out
@@ -36,7 +39,7 @@ def test_top_k_matches_brute_force(spark, monkeypatch, candidates, queries):
     rng = np.random.default_rng(1)
     given = [(int(i), [float(x) for x in rng.normal(0, 1 + i % 3, 20)]) for i in range(150)]
     given += [(200 + i, given[i][1]) for i in range(30)]  # ties
-    given += [(300, None), (301, [None, 1.0]), (302, [float("nan")] * 20), (303, []), (304, [1.0] * 7), (305, [1e30]), (None, [1.0] * 20), (306, [0.0] * 20), (307, [-3.0] * 25), (308, [float("inf")])]
+    given += [(300, None), (301, [None, 1.0]), (302, [float("nan")] * 20), (303, []), (304, [1.0] * 7), (305, [1e12, -7.3]), (310, None), (310, [0.5, -2e9]), (310, [float("nan")]), (320, [float("inf")]), (None, [1.0] * 20), (306, [0.0] * 20), (307, [-3.0] * 25), (308, [float("inf")])]
     given += [given[10]]
     frame = spark.createDataFrame(given, "vec_id long, embedding array<double>").repartition(4)
     asked = [i for i, v in given if i is not None and i % 10 == 0 and i != 300]
@@ -51,11 +54,36 @@ def test_fewer_candidates_than_k_and_none(spark):
     assert topk.top_k_inner_products(none, none).collect() == [] == topk.top_k_inner_products(frame, none).collect()
 
 
-def test_large_components_stay_exact():
+def test_large_components_stay_exact(spark):
     a = np.full((2, 3), topk.LARGEST, np.int64)
     a[1, 0] -= 1
     _, ids, score = topk.search_block(a[:1], np.array([7]), a, np.array([1, 2]), 2)
     assert ids.tolist() == [1, 2] and score.tolist() == [3 * topk.LARGEST**2, 3 * topk.LARGEST**2 - topk.LARGEST]
+    rng = random.Random(4)
+    sizes = [0.25, 1.0, 100.0], [0.25, 1e3, 1e6, -1e7, 3e7]  # queries, others: the best scores fit a long
+    given = [(i, [rng.choice(sizes[i % 10 > 0]) * rng.random() for _ in range(6)]) for i in range(120)]
+    given += [(500, [1e-3] * 6), (501, [-1e200, 0.0]), (502, [-1e305] * 2), (510, [1.5, 2.5, 2e6])]
+    frame = spark.createDataFrame(given, "vec_id long, embedding array<double>").repartition(3)
+    asked = [i for i, _ in given if i % 10 == 0]
+    found = topk.top_k_inner_products(frame, frame.where("vec_id % 10 = 0"), k=5).collect()
+    assert sorted(tuple(r) for r in found) == sorted(plain_top(given, asked, 5))
+
+
+def test_a_best_score_beyond_a_long_is_an_error():
+    with pytest.raises(OverflowError):
+        topk.search_wide([[2**40]], np.array([1]), [[2**40], [1]], np.array([2, 3]), 2)
+    which, ids, score = topk.search_wide([[2**40]], np.array([1]), [[-(2**40)], [1], [2]], np.array([2, 3, 4]), 2)
+    assert ids.tolist() == [4, 3] and score.tolist() == [2**41, 2**40]
+
+
+def test_first_bounds_never_lose_a_candidate():
+    rng = np.random.default_rng(2)
+    for spread in (10, 2**28):
+        a, b = rng.integers(-spread, spread, (7, 40)), rng.integers(-spread, spread, (300, 40))
+        ids, query_ids = np.arange(300), np.arange(7)
+        floors = topk.first_bounds(a, query_ids, b[::3], ids[::3], 4)
+        got, want = topk.search_block(a, query_ids, b, ids, 4, floors), topk.search_block(a, query_ids, b, ids, 4)
+        assert all(np.array_equal(x, y) for x, y in zip(got, want, strict=True)) and len(got[0]) == 28
 
 
 def plain_mix(given, entropy=None, max_repeats=None, budget=None, cover=False, seed=5):
@@ -88,7 +116,10 @@ def plain_mix(given, entropy=None, max_repeats=None, budget=None, cover=False, s
 
     a = 1.0
     if entropy is not None:
-        a = bisect(0.0, 4.0, lambda x: at(x)[1] > entropy * math.log(len(share)))
+        low, high = 0.0, 4.0
+        while at(high)[1] > entropy * math.log(len(share)):
+            low, high = high, 2 * high
+        a = bisect(low, high, lambda x: at(x)[1] > entropy * math.log(len(share)))
     elif max_repeats is not None:
         a = 0.0
     if max_repeats is not None and a < 1 and passes(a) > max_repeats:
@@ -119,7 +150,7 @@ def token_rows(given):
     return [(r[0], r[3] or "", len(WORD.findall(r[1] or ""))) for r in given]
 
 
-@pytest.mark.parametrize("targets", [{}, {"entropy": 0.9}, {"entropy": 0.3}, {"max_repeats": 2.0}, {"max_repeats": 1.5, "cover": True}, {"budget": 5000}, {"entropy": 0.95, "max_repeats": 3.0, "budget": 70_000}])
+@pytest.mark.parametrize("targets", [{}, {"entropy": 0.9}, {"entropy": 0.05}, {"entropy": 1.0}, {"max_repeats": 2.0}, {"max_repeats": 1.5, "cover": True}, {"budget": 5000}, {"entropy": 0.95, "max_repeats": 3.0, "budget": 70_000}])
 def test_mix_matches_plain_bisection(spark, targets):
     found = mixing.mix_sources(documents(spark), expand=False, **targets).collect()
     copies, weights = plain_mix(token_rows(rows()), **targets)
@@ -156,3 +187,23 @@ def test_mix_of_nothing(spark):
     assert sorted(r["doc_id"] for r in mixing.mix_sources(empty, entropy=0.9).collect()) == [1, 2]
     with pytest.raises(ValueError):
         mixing.mix_sources(empty.withColumnRenamed("source", "mix_copies"), source_col="mix_copies")
+
+
+def test_targets_are_met_or_an_error(spark):
+    def sources(*tokens):
+        frame = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(tokens)], "source string, tokens long")
+        return frame.selectExpr("source", "tokens", f"tokens / {float(sum(tokens))} AS share")
+
+    def entropy(mix, *tokens):
+        x = [(n / sum(tokens) / mix.top) ** mix.exponent / mix.total for n in tokens]
+        return -sum(p * math.log(p) for p in x) / math.log(len(tokens))
+
+    for target in (0.9, 0.3, 0.01):
+        assert abs(entropy(mixing.find_mix(sources(40, 30, 30), entropy=target), 40, 30, 30) - target) < 1e-6
+    for bad in ({"entropy": 0.0}, {"entropy": 1.1}, {"max_repeats": 0}, {"max_repeats": 0.5, "cover": True}, {"budget": 0}):
+        with pytest.raises(ValueError):
+            mixing.find_mix(sources(40, 30, 30), **bad)
+    with pytest.raises(ValueError):  # two largest sources stay alike, so half the entropy is out of reach
+        mixing.find_mix(sources(40, 40, 30), entropy=0.3)
+    steep = mixing.find_mix(sources(40, 30, 30), entropy=0.3, max_repeats=1.2)
+    assert steep.exponent > 1 and 1.199 < (0.4 / steep.top) ** steep.exponent / steep.total / 0.4 <= 1.2 + 1e-9

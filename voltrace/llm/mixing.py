@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._store import free_name, materialize
+from ._store import columns, free_name, materialize
 
-#: Exponents lie between 0 (all sources alike) and HIGHEST; bisection halves that STEPS times, four halvings a job.
-HIGHEST, STEPS = 4.0, 32
+#: Bisection halves its bracket STEPS times, four halvings a job. The bracket of exponents is 0 (all sources alike) to
+#: HIGHEST, or to as many doublings of that as the target needs, up to LIMIT.
+HIGHEST, LIMIT, STEPS = 4.0, 2.0**20, 32
 WORDS = r"[^\x20\x09-\x0D]+"
 #: A block of at most so many documents is ordered as it is. Source tables up to this many rows are broadcast.
 BLOCK_DOCS, BROADCAST_SOURCES = 256, 100_000
@@ -39,38 +40,39 @@ def permutation_key(seed: int, epoch: Column, number: Column) -> Column:
 
 @dataclass(frozen=True)
 class Mix:
-    """What the bisection found: the exponent, sum(p**exponent), and the token budget."""
+    """What the bisection found: the exponent, sum((p / top)**exponent) with the largest share top, and the token budget."""
 
     exponent: float
     total: float
+    top: float
     budget: float
 
 
-def _measures(sources: DataFrame, exponents: list[float]) -> list[tuple[float, float, float, float]]:
-    """For each exponent: sum(p**a), entropy of the weights, largest and smallest p**a / p."""
-    x = F.exp(F.col("a") * F.ln("share"))
+def _measures(sources: DataFrame, top: float, exponents: list[float]) -> list[tuple[float, float, float, float]]:
+    """For each exponent: sum((p / top)**a), entropy of the weights, largest and smallest (p / top)**a / (p / top)."""
+    x = F.exp(F.col("a") * F.ln("r"))
     rows = (
         sources.where("tokens > 0")
-        .select("share", F.posexplode(F.array(*map(F.lit, exponents))).alias("i", "a"))
+        .select((F.col("share") / F.lit(top)).alias("r"), F.posexplode(F.array(*map(F.lit, exponents))).alias("i", "a"))
         .groupBy("i", "a")
-        .agg(F.sum(x).alias("z"), F.sum(x * F.ln("share")).alias("l"), F.max(x / F.col("share")).alias("hi"), F.min(x / F.col("share")).alias("lo"))
+        .agg(F.sum(x).alias("z"), F.sum(x * F.ln("r")).alias("l"), F.max(x / F.col("r")).alias("hi"), F.min(x / F.col("r")).alias("lo"))
         .select("i", "z", (F.ln("z") - F.col("a") * F.col("l") / F.col("z")).alias("h"), "hi", "lo")
         .collect()  # a row for each exponent asked for
     )
     return [tuple(r)[1:] for r in sorted(rows)]
 
 
-def _bisect(sources: DataFrame, low: float, high: float, too_flat: Callable[[tuple], bool]) -> float:
-    """The exponent between low and high at which too_flat(measures) turns false; four halvings from each job's sums."""
+def _bisect(measure: Callable, low: float, high: float, holds: Callable[[tuple], bool]) -> tuple[float, float]:
+    """The exponents, next to each other, between which holds(measures) turns false; four halvings from each job's sums."""
     for _ in range(STEPS // 4):
         points = [low + (high - low) * i / 16 for i in range(17)]
-        found = _measures(sources, points)
+        found = measure(points)
         a, b = 0, 16
         while b - a > 1:
             middle = (a + b) // 2
-            a, b = (middle, b) if too_flat(found[middle]) else (a, middle)
+            a, b = (middle, b) if holds(found[middle]) else (a, middle)
         low, high = points[a], points[b]
-    return high
+    return low, high
 
 
 def find_mix(
@@ -79,29 +81,52 @@ def find_mix(
     """The mix for a table (source, tokens, share): exponent 1 where no target is given.
 
     ``entropy`` is the target as a share of the largest possible, ln(number of sources). With ``max_repeats`` the exponent
-    is then raised, up to 1, until no source's budget is above that many passes; a budget above max_repeats times all
+    is then moved towards 1 until no source's budget is above that many passes; a budget above max_repeats times all
     tokens is lowered to that. The budget is ``budget`` tokens, else all there are; with ``cover`` the smallest that gives
     every source one whole pass. None if no source has tokens.
+
+    Targets out of range are an error, and so is an entropy that no exponent gives: several sources of the largest share
+    keep theirs alike however large it is.
     """
-    number, tokens = sources.where("tokens > 0").agg(F.count("*"), F.sum("tokens")).first()
+    if entropy is not None and not 0 < entropy <= 1:
+        raise ValueError("entropy is a share of the largest possible, above 0 and up to 1")
+    if max_repeats is not None and not max_repeats >= (1 if cover else 0) or max_repeats == 0:
+        raise ValueError("max_repeats must be above 0, with cover 1 or more")
+    if budget is not None and not budget > 0:
+        raise ValueError("budget must be above 0")
+    number, tokens, top = sources.where("tokens > 0").agg(F.count("*"), F.sum("tokens"), F.max(F.col("share").cast("double"))).first()
     if not number:
         return None
     size = float(tokens if budget is None else budget)
     if max_repeats is not None and not cover:
         size = min(size, max_repeats * tokens)
+
+    def measure(points: list[float]) -> list[tuple]:
+        return _measures(sources, top, points)
+
+    def too_flat(m: tuple) -> bool:
+        return m[1] > entropy * log(number)
+
+    def passes(m: tuple) -> float:
+        return m[2] / m[3] if cover else m[2] / m[0] / top * size / tokens
+
     exponent = 1.0
     if entropy is not None:
-        exponent = _bisect(sources, 0.0, HIGHEST, lambda m: m[1] > entropy * log(number))
+        low, high = 0.0, HIGHEST
+        while too_flat(measure([high])[0]):
+            low, high = high, 2 * high
+            if high > LIMIT:
+                raise ValueError(f"no exponent brings the entropy down to {entropy} of the largest possible")
+        exponent = _bisect(measure, low, high, too_flat)[1]
     elif max_repeats is not None:
         exponent = 0.0
-
-    def passes(m: tuple) -> float:
-        return m[2] / m[3] if cover else m[2] / m[0] * size / tokens
-
-    if max_repeats is not None and exponent < 1 and passes(_measures(sources, [exponent])[0]) > max_repeats:
-        exponent = _bisect(sources, exponent, 1.0, lambda m: passes(m) > max_repeats)
-    total, _, _, low = _measures(sources, [exponent])[0]
-    return Mix(exponent, total, tokens * total / low if cover else size)
+    if max_repeats is not None and exponent != 1 and passes(measure([exponent])[0]) > max_repeats:
+        if exponent < 1:
+            exponent = _bisect(measure, exponent, 1.0, lambda m: passes(m) > max_repeats)[1]
+        else:
+            exponent = _bisect(measure, 1.0, exponent, lambda m: passes(m) <= max_repeats)[0]
+    total, _, _, low = measure([exponent])[0]
+    return Mix(exponent, total, top, tokens * total * top / low if cover else size)
 
 
 def _join_sources(docs: DataFrame, sources: DataFrame, on: str, small: bool) -> DataFrame:
@@ -122,7 +147,7 @@ def plan_copies(rows: DataFrame, *, seed: int = 5, **targets) -> tuple[DataFrame
     if mix is None:
         nothing = sums.select("source", "tokens", F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("budget"), F.lit(1).cast("long").alias("passes"), F.lit("").alias("cut"))
         return nothing, small
-    weight = F.when(F.col("tokens") > 0, F.exp(F.lit(mix.exponent) * F.ln("share")) / F.lit(mix.total)).otherwise(0.0)
+    weight = F.when(F.col("tokens") > 0, F.exp(F.lit(mix.exponent) * F.ln(F.col("share") / F.lit(mix.top))) / F.lit(mix.total)).otherwise(0.0)
     plan = sums.withColumn("weight", weight).withColumn("budget", F.round(F.col("weight") * F.lit(mix.budget)).cast("long"))
     plan = plan.withColumn("passes", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.greatest("tokens", F.lit(1)))).otherwise(1))
     plan = plan.withColumn("left", F.when(F.col("tokens") > 0, F.col("budget") - F.col("passes") * F.col("tokens")).otherwise(0))
@@ -181,6 +206,6 @@ def mix_sources(
     key = permutation_key(seed, F.col(held + "_plan.passes"), number)
     copies = F.col(held + "_plan.passes") + F.when(key <= F.col(held + "_plan.cut"), 1).otherwise(0)
     if not expand:
-        return joined.select(*docs.columns, count_tokens(docs[text_col]).alias(names[0]), names[1], copies.cast("long").alias(names[2]))
+        return joined.select(*columns(docs), count_tokens(docs[text_col]).alias(names[0]), names[1], copies.cast("long").alias(names[2]))
     copied = joined.withColumn(names[2], copies.cast("int")).where(F.col(names[2]) > 0)
-    return copied.withColumn(held, F.explode(F.sequence(F.lit(1), F.col(names[2])))).select(*docs.columns)
+    return copied.withColumn(held, F.explode(F.sequence(F.lit(1), F.col(names[2])))).select(*columns(docs))
