@@ -2,8 +2,9 @@
 
 A byte-level BPE splits a text into pre-tokens and merges inside each one, so the ids of a text are the ids of its
 pre-tokens, one after another. Natural text repeats its pre-tokens, so each worker keeps a bounded dictionary from
-pre-token to packed ids and asks the tokenizers library only for new ones. Texts with characters outside those whose
-classes are the same in every Unicode version go to the library whole, and so do vocabularies of another kind.
+pre-token to packed ids and asks the tokenizers library only for new ones. Texts that hold an added token's string, or
+characters outside those whose classes are the same in every Unicode version, go to the library whole, and so do
+vocabularies of another kind. The ids are always those of ``Tokenizer.encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ _SPACES = r"\t\n\r "
 _SPLIT = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
 )
+#: Pre-tokens of more characters aren't memoised.
+LONGEST_KEY = 64
 _UNUSUAL = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ɏ–—‘’“”…€]")
 
 
@@ -42,13 +45,14 @@ class PackedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
         pre = kind.get("pre_tokenizer") or {}
         self.splits = (
             pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not kind.get("normalizer")
         )
+        added = [t["content"] for t in kind.get("added_tokens") or [] if t.get("content")]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.max_entries = max_entries
         #: Two generations: a full memo becomes the old one, from which what is met again moves on.
@@ -63,15 +67,19 @@ class PackedEncoder:
         return array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def _one(self, text: str) -> bytes:
-        if not self.splits or _UNUSUAL.search(text):
+        if not self.splits or _UNUSUAL.search(text) or (self.added and self.added.search(text)):
             return self._ask([text])[0]
         parts = _SPLIT.findall(text)
         if new := set(parts).difference(self.memo):
+            long = {x: self._merge(x) for x in new if len(x) > LONGEST_KEY}
+            new.difference_update(long)
             if len(self.memo) + len(new) > self.max_entries:
-                self.old, self.memo, new = self.memo, {}, set(parts)
+                self.old, self.memo, new = self.memo, {}, set(parts).difference(long)
             old = self.old
             self.memo.update((x, old[x]) for x in new if x in old)
             self.memo.update((x, self._merge(x)) for x in new if x not in old)
+            if long:
+                return b"".join(long[x] if len(x) > LONGEST_KEY else self.memo[x] for x in parts)
         return b"".join(map(self.memo.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from ._tokens import packed_encoder, vocabulary
 
 MAGIC = b"VTIDEF01"
 SAMPLE = 512
+#: Bytes of text in a file, about.
+FILE_BYTES = 128 << 20
 
 
 def encode_sequence(values: np.ndarray) -> dict:
@@ -87,7 +90,7 @@ class IdFileWriter:
         self.temp, self.id_bytes = f"{self.path}.{uuid.uuid4().hex}.tmp", id_bytes
         self.out = self.fs.open_output_stream(self.temp)
         self.out.write(MAGIC)
-        self.ends, self.numbers, self.nulls, self.ids = [0], [], 0, 0
+        self.ends, self.numbers, self.nulls, self.ids = array("q", [0]), array("q"), 0, 0
 
     def add(self, number: int | None, ids: bytes) -> None:
         """ids: unsigned 32-bit. Documents come in ascending order of number, nulls first."""
@@ -173,7 +176,7 @@ def write_id_files(
     """Encode every text whole, append the end id, and write id files in ascending order of ``id_col``.
 
     Rows are dealt by ranges of (document number, place in the input), so a number that very many rows share is split
-    over files. Null texts are empty texts: the end id alone. Null numbers come first; rows with equal numbers keep their
+    over files. There are as many files as FILE_BYTES of text a file make, and at least two for each core. Null texts are empty texts: the end id alone. Null numbers come first; rows with equal numbers keep their
     input order. Returns the manifest in order: [{"path", "docs", "ids", "start"}], start being the ids in all files
     before. One entry per file, so its size is that of the file list. An empty table gives [].
     """
@@ -202,10 +205,11 @@ def write_id_files(
             n, ids = out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [name], "docs": [n], "ids": [ids]})
 
+    rows = docs.select(docs[id_col].cast("long").alias("number"), docs[text_col].cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     made = (
-        docs.select(docs[id_col].cast("long").alias("number"), docs[text_col].cast("string").alias("text"))
-        .withColumn("place", F.monotonically_increasing_id())
-        .repartitionByRange(F.col("number").asc_nulls_first(), "place")
+        rows.withColumn("place", F.monotonically_increasing_id())
+        .repartitionByRange(max(-(-size // FILE_BYTES), 2 * spark.sparkContext.defaultParallelism), F.col("number").asc_nulls_first(), "place")
         .sortWithinPartitions(F.col("number").asc_nulls_first(), "place")
         .select("number", "text")
         .mapInArrow(write, "part long, path string, docs long, ids long")

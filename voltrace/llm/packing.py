@@ -72,6 +72,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: in
                 raw = memoryview(encoder.encode([text or ""])[0] + end)
                 whole = zlib.crc32(raw)
                 n = seen[whole] = seen[whole] + 1
+                group = _mixed(seed, whole, n) % groups
                 for s in range(0, len(raw), step):
                     piece = raw[s : s + step]
                     doc.append(k)
@@ -79,7 +80,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: in
                     length.append(len(piece) // 4)
                     crc.append(zlib.crc32(piece))
                     total.append(len(raw) // 4)
-                    grp.append(_mixed(seed, whole, n, s) % groups)
+                    grp.append(group)
                     if with_ids:
                         ids.append(bytes(piece))
             columns = [part.column(0).take(pa.array(doc, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total, grp))]
@@ -112,8 +113,8 @@ def pack_documents(
     """Pack documents into sequences of at most ``capacity`` tokens.
 
     Each text is encoded whole, an end id follows, and the ids are cut into pieces: every full stretch of ``capacity``
-    ids, then the rest. Pieces are dealt at random into groups of about ``group_docs`` documents and each group is packed
-    by itself, so that no step sees more than a group. One row per piece: doc_id (with its own type), start (the
+    ids, then the rest. Documents are dealt at random, with all their pieces, into groups of about ``group_docs`` and each
+    group is packed by itself, so that no step sees more than a group. One row per piece: doc_id (with its own type), start (the
     document's ids before it), length, ids_crc32 of the ids as little-endian unsigned 32-bit integers, doc_tokens,
     sequence_id (group and bin), offset in the sequence; with ``with_ids`` also the ids themselves, so packed.
 
