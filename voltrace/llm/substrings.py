@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from ._store import BlobWriter, bound_batches, field_list, materialize, new_path, open_store, plain_names, read_blob
 from ._words import Chunk, chunks
 
-#: Bytes of text in a chunk, and windows in a bucket, about.
-CHUNK_BYTES, BUCKET_WINDOWS = 1_000_000, 6_000_000
+#: Bytes of text in a chunk, about.
+CHUNK_BYTES = 1_000_000
+#: Windows in a bucket, about: so many, and more, as far as a worker's memory allows, where that gives too many buckets.
+BUCKET_WINDOWS, MOST_BUCKETS, MOST_BUCKET_WINDOWS = 1_500_000, 100_000, 24_000_000
 #: Chunks in a message: at least so many, and more, as far as a worker's memory allows, where a corpus has so many
 #: buckets that a row would hold few windows.
 MESSAGE_CHUNKS, MOST_MESSAGE_CHUNKS, ROW_WINDOWS = 8, 48, 8
@@ -255,8 +257,9 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", window: int = 35,
     texts = plain_names(texts)
     table = materialize(texts.mapInArrow(cut, "chunk long, words long, path string, offset long, length long"), "chunks")
     n_chunks, n_words = table.agg(F.count("*"), F.sum("words")).first()
-    buckets = max(1, -(-(n_words or 0) // BUCKET_WINDOWS))
-    size = -(-ROW_WINDOWS * buckets * n_chunks // max(n_words or 0, 1))  # chunks that give each bucket ROW_WINDOWS windows
+    n_words = n_words or 0
+    buckets = max(1, -(-n_words // min(max(BUCKET_WINDOWS, -(-n_words // MOST_BUCKETS)), max(BUCKET_WINDOWS, MOST_BUCKET_WINDOWS))))
+    size = -(-ROW_WINDOWS * buckets * n_chunks // max(n_words, 1))  # chunks that give each bucket ROW_WINDOWS windows
     size = min(max(size, MESSAGE_CHUNKS), max(MOST_MESSAGE_CHUNKS, MESSAGE_CHUNKS))
     places = F.sort_array(F.collect_list(F.struct("chunk", "path", "offset", "length"))).alias("places")
     table = materialize(table.groupBy(F.expr(f"chunk div {size}").alias("message")).agg(places), "messages")
