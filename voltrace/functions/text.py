@@ -13,7 +13,6 @@ ROLE_MARKERS = {
     "Attendees": "attendee",
     "Shareholders": "shareholder",
 }
-MIN_TRANSCRIPT_CHARS = 50
 MAX_WORDS = 320
 PREPARED, QA = "prepared_remarks", "qa"
 CUE_NEAR_ANALYST = 3

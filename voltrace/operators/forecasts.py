@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import log
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,17 +20,23 @@ def ewma(returns: DataFrame, lam: float = LAMBDA) -> DataFrame:
     """(ticker, date, ewma_var, ewma): the exponentially weighted variance forecast after each date of own-date returns.
 
     The recursion s = lam s + (1 - lam) r**2, begun at the population variance of all returns up to the date, in closed
-    form: lam**n var + (1 - lam) sum(lam**(n - 1 - i) r_i**2). Powers are taken relative to the middle of the series, so
-    series of up to about 20,000 dates stay within doubles.
+    form: lam**n var + (1 - lam) sum(lam**(n - 1 - i) r_i**2). Powers are taken within segments over which lam falls to
+    1e-27, and what the segments before leave is carried over, so series of any length stay within doubles.
     """
+    length = max(1, int(27 * log(10) / -log(lam)))
     w = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("ticker")
     numbered = returns.where("ret IS NOT NULL").withColumn("n", F.row_number().over(Window.partitionBy("ticker").orderBy("date")))
-    at = F.col("n") - F.floor(F.max("n").over(whole) / 2)
-    summed = F.sum(F.pow(F.lit(lam), -F.col("at")) * F.col("ret") * F.col("ret")).over(w)
-    var = F.pow(F.lit(lam), F.col("n")) * F.var_pop("ret").over(w) + (1 - lam) * F.pow(F.lit(lam), F.col("at")) * summed
-    out = numbered.withColumn("at", at).withColumn("ewma_var", var)
-    return out.select("ticker", "date", "ewma_var", log_vol(F.col("ewma_var")).alias("ewma"))
+    numbered = numbered.withColumn("segment", F.floor((F.col("n") - 1) / length)).withColumn("at", F.col("n") - F.col("segment") * length)
+    square = F.col("ret") * F.col("ret")
+    ends = numbered.groupBy("ticker", "segment").agg(F.sum(F.pow(F.lit(lam), length - F.col("at")) * square).alias("end"))
+    # a dozen segments back is below the smallest double
+    before = F.collect_list("end").over(Window.partitionBy("ticker").orderBy("segment").rowsBetween(-12, -1))
+    carried = F.aggregate(before, F.lit(0.0), lambda s, e: s * F.lit(lam**length) + e)
+    carries = ends.select("ticker", "segment", carried.alias("carry"))
+    own = F.sum(F.pow(F.lit(lam), -F.col("at")) * square).over(Window.partitionBy("ticker", "segment").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    out = numbered.withColumns({"own": own, "var": F.var_pop("ret").over(w)}).join(carries, ["ticker", "segment"])
+    var = F.pow(F.lit(lam), F.col("n")) * F.col("var") + (1 - lam) * F.pow(F.lit(lam), F.col("at")) * (F.col("own") + F.col("carry"))
+    return out.withColumn("ewma_var", var).select("ticker", "date", "ewma_var", log_vol(F.col("ewma_var")).alias("ewma"))
 
 
 def as_of_value(calls: DataFrame, series: DataFrame, value: str, day: str = "as_of") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import product
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .significance import holm
@@ -49,10 +51,9 @@ def suffix_label(name: Column, labels: dict[str, str]) -> Column:
 
 
 def tex_escaped(text: str) -> str:
-    for c, e in (("\\", r"\textbackslash{}"), ("&", r"\&"), ("%", r"\%"), ("$", r"\$"), ("#", r"\#"), ("_", r"\_"), ("{", r"\{"), ("}", r"\}")):
-        if c != "\\":
-            text = text.replace(c, e)
-    return text
+    """text with every character that LaTeX reads as a command made plain."""
+    escapes = {"\\": r"\textbackslash{}"} | {c: "\\" + c for c in "&%$#_{}"}
+    return "".join(escapes.get(c, c) for c in text)
 
 
 def render_markdown(grid: DataFrame, title: str) -> str:
@@ -75,3 +76,27 @@ def gate(cells: DataFrame, better: str, worse: str, metric: str = "mse", by: tup
     sides = cells.groupBy(*by).agg(F.max(F.when(F.col("model") == better, F.col(metric))).alias("a"), F.max(F.when(F.col("model") == worse, F.col(metric))).alias("b"))
     counts = sides.agg(F.count("*").alias("cells"), F.count_if(F.col("a") < F.col("b")).alias("wins"))
     return counts.withColumn("passes", F.col("cells") - F.col("wins") <= allowed)
+
+
+def view_specs(spark: SparkSession, **dimensions: tuple[str, ...]) -> DataFrame:
+    """Every combination of the given values, one row a view, numbered in the order given."""
+    rows = [(i, *values) for i, values in enumerate(product(*dimensions.values()))]  # a report's few views
+    return spark.createDataFrame(rows, "view int, " + ", ".join(f"`{d}` string" for d in dimensions))
+
+
+#: The columns of every result table, and the type of each.
+RESULT_COLUMNS = {
+    "dataset": "string", "split": "string", "target": "string", "horizon": "int", "model": "string", "segment": "string", "n": "long",
+    "mse": "double", "mae": "double", "r2_oos": "double", "spearman_q": "double", "seed_std": "double",
+    "dm_p_vs_persistence": "double", "dm_p_vs_har": "double", "dm_p_vs_stage1": "double",
+}
+
+
+def result_rows(cells: DataFrame, **fixed: str) -> DataFrame:
+    """Metric cells as rows of the result table: ``fixed`` gives constant columns, what neither has is NULL."""
+
+    def column(name: str, kind: str) -> Column:
+        value = F.lit(fixed[name]) if name in fixed else F.col(name) if name in cells.columns else F.lit(None)
+        return value.cast(kind).alias(name)
+
+    return cells.select(*(column(n, k) for n, k in RESULT_COLUMNS.items()))

@@ -54,3 +54,15 @@ def volatility_windows(returns: DataFrame, horizons: tuple[int, ...] = HORIZONS)
             out[f"has_{side}_{h}"] = full
             out[f"v_{side}_{h}"] = F.when(full, log_vol(F.var_pop("ret").over(w))) if h > 1 else F.lit(None).cast("double")
     return returns.withColumns(out)
+
+
+def n_day_volatility(returns: DataFrame, days: tuple[int, ...] = (3, 7, 15, 30), eps: float = 1e-10) -> DataFrame:
+    """(ticker, date, days, log_std, log_last): for each date of own-date returns the log deviation of the ``days`` returns
+    after it and the log of the last one's size; NULL where returns are missing or don't vary."""
+    cells = []
+    for n in days:
+        w = Window.partitionBy("ticker").orderBy("date").rowsBetween(1, n)
+        std = F.when(F.count("ret").over(w) == n, F.stddev_pop("ret").over(w))
+        known = std > 0
+        cells.append(F.struct(F.lit(n).alias("days"), F.when(known, F.ln(std)).alias("log_std"), F.when(known, F.ln(F.abs(F.last("ret").over(w)) + F.lit(eps))).alias("log_last")))
+    return returns.withColumn("cells", F.array(*cells)).select("ticker", "date", F.explode("cells").alias("c")).select("ticker", "date", "c.*")

@@ -13,7 +13,7 @@ SEGMENTS = ("train", "val", "test")
 def load_cohort(targets: DataFrame) -> DataFrame:
     """One row for each call with an ok target: (call_id, ticker, as_of, longest), longest being its longest ok horizon."""
     ok = targets.where("status = 'ok'")
-    return ok.groupBy("call_id").agg(F.first("ticker").alias("ticker"), F.first("as_of").alias("as_of"), F.max("horizon").alias("longest"))
+    return ok.groupBy("call_id").agg(F.min("ticker").alias("ticker"), F.min("as_of").alias("as_of"), F.max("horizon").alias("longest"))
 
 
 def boundaries(cohort: DataFrame, ratios: tuple[float, ...] = RATIOS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, learning, names, reporting, splits, targets, text  # noqa: F401  the modules enter their queries
+from . import cohorts, evaluation, learning, names, reporting, splits, targets, text  # noqa: F401  the modules enter their queries
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -27,6 +27,32 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(rows.join(forecasts.as_of_value(days, vol, "ewma"), ["ticker", "as_of"], "left"), "features")
 
 
+SCHEMES = ("temporal", "disjoint", "combined")
+
+
+def scheme_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long predictions of the validation and test segments of every split scheme, staged; fits are each scheme's own.
+
+    A call that a scheme leaves out has the segment excluded and takes no part in fits or cells.
+    """
+    found = stage(base.targets(spark, sf_dir), "targets")
+    calls = splits.cohort(spark, sf_dir)
+    sides = {"temporal": splits.temporal(spark, sf_dir, calls), "disjoint": splits.disjoint(spark, sf_dir, calls)}
+    sides["combined"] = split_ops.combined_split(sides["temporal"], sides["disjoint"])
+    vol = forecasts.ewma(own_date_returns(base.bars(spark, sf_dir)))
+    ok = found.where("status = 'ok'")
+    days = forecasts.as_of_value(ok.select("ticker", "as_of").distinct(), vol, "ewma")
+    rows = stage(ok.join(days, ["ticker", "as_of"], "left"), "features")
+    out = None
+    for name in SCHEMES:
+        part = rows.join(sides[name].withColumnRenamed("split", "segment"), "call_id", "left").withColumn("segment", F.coalesce("segment", F.lit("excluded")))
+        train = F.col("segment") == "train"
+        part = forecasts.entity_mean(forecasts.har_forecast(part, train), "ticker", "v_post", train).where("segment IN ('val', 'test')")
+        part = forecasts.as_targets(part, MODELS).select(F.lit(name).alias("split"), "call_id", "as_of", *CELL, "y_true", "y_pred", "baseline")
+        out = part if out is None else out.unionByName(part)
+    return stage(out, "predictions")
+
+
 def forecast_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features(spark, sf_dir)
     train = F.col("segment") == "train"
@@ -112,9 +138,9 @@ def har_ols_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("horizon", *base.r6("b0", "b1", "b2", "b3"))
 
 
-@query(f"""WITH {_SQL} SELECT call_id, segment, target, horizon, model, round(y_true, 6) + 0.0::DOUBLE AS y_true, round(y_pred, 6) + 0.0::DOUBLE AS y_pred FROM preds WHERE horizon = 3""")
+@query(f"""WITH {_SQL} SELECT call_id, segment, target, horizon, model, round(y_true, 6) + 0.0::DOUBLE AS y_true, round(y_pred, 6) + 0.0::DOUBLE AS y_pred FROM preds""")
 def target_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predictions(spark, sf_dir).where("horizon = 3").select("call_id", *CELL, *base.r6("y_true", "y_pred"))
+    return predictions(spark, sf_dir).select("call_id", *CELL, *base.r6("y_true", "y_pred"))
 
 
 @query(f"""WITH {_SQL} SELECT segment, target, horizon, model, n, {base.sql_r6('mse', 'mae', 'r2_oos', 'spearman_q')} FROM (
@@ -126,9 +152,9 @@ def metric_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.metric_cells(predictions(spark, sf_dir), CELL).select(*CELL, "n", *base.r6("mse", "mae", "r2_oos", "spearman_q"))
 
 
-@query(f"WITH {_SQL} SELECT segment, target, horizon, model, quarter, {base.sql_r6('rho')} FROM quarters WHERE model <> 'persistence' AND target <> 'har_resid' AND model <> 'entity_mean'")
+@query(f"WITH {_SQL} SELECT segment, target, horizon, model, quarter, {base.sql_r6('rho')} FROM quarters")
 def spearman_by_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = predictions(spark, sf_dir).where("model IN ('ewma', 'har') AND target != 'har_resid'").withColumn("quarter", metrics.quarter_of(F.col("as_of")))
+    rows = predictions(spark, sf_dir).withColumn("quarter", metrics.quarter_of(F.col("as_of")))
     return metrics.spearman(rows, [*CELL, "quarter"], name="rho").select(*CELL, "quarter", *base.r6("rho"))
 
 
@@ -140,14 +166,14 @@ def per_year_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.by_year(rows, ["target", "model"]).select("target", "model", "year", "n", *base.r6("r2_oos"))
 
 
-def _dm_sql(h: int) -> str:
+def _dm_sql(h: int, reference: str = "persistence") -> str:
     parts = " + ".join(["g0", *(f"2 * coalesce(g{k}, 0)" for k in range(1, h))])
     lags = "".join(f", lag(dev, {k}) OVER w AS l{k}" for k in range(1, h))
     gs = "".join(f", avg(dev * l{k}) AS g{k}" for k in range(1, h))
-    return f"""WITH {_SQL}, err AS (SELECT *, y_true - y_pred AS e FROM preds WHERE segment = 'test' AND target <> 'har_resid'),
+    return f"""WITH {_SQL}, err AS (SELECT *, y_true - y_pred AS e FROM preds WHERE segment = 'test'),
         d AS (
             SELECT a.target, a.horizon, a.model, a.as_of, a.call_id, a.e ** 2 - b.e ** 2 AS d FROM err a
-            JOIN err b ON b.model = 'persistence' AND a.model <> 'persistence' AND a.target = b.target AND a.horizon = b.horizon AND a.call_id = b.call_id WHERE a.e IS NOT NULL AND b.e IS NOT NULL
+            JOIN err b ON b.model = '{reference}' AND a.model <> '{reference}' AND a.target = b.target AND a.horizon = b.horizon AND a.call_id = b.call_id WHERE a.e IS NOT NULL AND b.e IS NOT NULL
         ),
         dev AS (SELECT *, d - avg(d) OVER (PARTITION BY target, horizon, model) AS dev FROM d),
         lagged AS (SELECT *{lags} FROM dev WINDOW w AS (PARTITION BY target, horizon, model ORDER BY as_of, call_id)),
@@ -156,9 +182,9 @@ def _dm_sql(h: int) -> str:
             SELECT *, CASE WHEN n >= 2 THEN mean_diff / sqrt(CASE WHEN {parts} > 0 THEN {parts} WHEN g0 > 0 THEN g0 END / n) * sqrt((n + 1 - 2 * {h} + {h * (h - 1)}.0::DOUBLE / n) / n) END AS dm_stat FROM g)"""
 
 
-def _dm(spark: SparkSession, sf_dir: str, h: int) -> DataFrame:
-    rows = predictions(spark, sf_dir).where("segment = 'test' AND target != 'har_resid'")
-    pairs = significance.against(rows, "persistence", ["target", "horizon"], "call_id")
+def _dm(spark: SparkSession, sf_dir: str, h: int, reference: str = "persistence") -> DataFrame:
+    rows = predictions(spark, sf_dir).where("segment = 'test'")
+    pairs = significance.against(rows, reference, ["target", "horizon"], "call_id")
     pairs = pairs.select("target", "horizon", "model", "as_of", "call_id", "ea", "eb")
     found = significance.diebold_mariano(pairs, ["target", "horizon", "model"], ["as_of", "call_id"], h=h, p_value=False)
     return found.select("target", "horizon", "model", "n", *base.r6("mean_diff", "dm_stat"))
@@ -174,10 +200,15 @@ def diebold_mariano_long_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dm(spark, sf_dir, 3)
 
 
+@query(_dm_sql(1, "har"))
+def diebold_mariano_against_har(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dm(spark, sf_dir, 1, "har")
+
+
 @query()
 def diebold_mariano_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With p-values of Student's t (no SQL function; tested against quadrature) and Holm's correction over horizons."""
-    rows = predictions(spark, sf_dir).where("segment = 'test' AND target = 'dv'")
+    rows = predictions(spark, sf_dir).where("segment = 'test'")
     pairs = significance.against(rows, "persistence", ["target", "horizon"])
     found = significance.diebold_mariano(pairs, ["target", "horizon", "model"], ["as_of", "call_id"])
     return significance.holm(found, ["target", "model"], "dm_p", "holm_p").select("target", "horizon", "model", "n", *base.r6("dm_stat", "dm_p", "holm_p"))
@@ -290,8 +321,8 @@ def entity_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return controls.holdout(rows, "vec_id", 0.7, 5)
 
 
-@query("""WITH s AS (SELECT doc_id FROM documents WHERE doc_id % 3 = 0), f AS (SELECT doc_id FROM labels WHERE doc_id % 2 = 0)
+@query("""WITH s AS (SELECT doc_id FROM documents), f AS (SELECT doc_id FROM labels)
     SELECT doc_id, 'missing' AS side FROM (SELECT doc_id FROM f EXCEPT ALL SELECT doc_id FROM s) UNION ALL SELECT doc_id, 'extra' FROM (SELECT doc_id FROM s EXCEPT ALL SELECT doc_id FROM f)""")
 def frozen_sample_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sample = base.table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("doc_id")
-    return controls.frozen_difference(sample, base.table(spark, sf_dir, "labels").where("doc_id % 2 = 0").select("doc_id"))
+    sample = base.table(spark, sf_dir, "documents").select("doc_id")
+    return controls.frozen_difference(sample, base.table(spark, sf_dir, "labels").select("doc_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltrace.operators import assembly, controls, models
@@ -48,21 +48,26 @@ def design_matrix_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.widen(stats, "call_id", ["scope"], ["n_words", "n_turns"], [("full",), ("prepared_remarks",), ("qa",)])
 
 
-@query("""WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS x FROM embeddings), i AS (SELECT vec_id FROM e WHERE vec_id % 2 = 0 OR vec_id % 3 = 0 OR vec_id % 5 = 0)
-    SELECT vec_id, vec_id % 2 = 0 AS has_a, vec_id % 3 = 0 AS has_b, vec_id % 5 = 0 AS has_c, round(CASE WHEN vec_id % 2 = 0 THEN x ELSE 0 END, 6) + 0.0::DOUBLE AS a0,
-        round(CASE WHEN vec_id % 3 = 0 THEN x ELSE 0 END, 6) + 0.0::DOUBLE AS b0, round(CASE WHEN vec_id % 5 = 0 THEN x ELSE 0 END, 6) + 0.0::DOUBLE AS c0 FROM i JOIN e USING (vec_id)""")
+_BLOCKS = {"a": "true", "b": "label < 5", "c": "label >= 3"}
+
+
+@query(f"""SELECT vec_id, {", ".join(f"{k} AS has_{n}" for n, k in _BLOCKS.items())}, i - 1 AS component,
+    {", ".join(f"round(CASE WHEN {k} THEN embedding[i]::DOUBLE ELSE 0 END, 6) + 0.0::DOUBLE AS {n}" for n, k in _BLOCKS.items())} FROM embeddings, (SELECT unnest(generate_series(1, 64))::INTEGER AS i)""")
 def feature_blocks_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = base.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    blocks = {n: e.where(F.col("vec_id") % k == 0) for n, k in (("a", 2), ("b", 3), ("c", 5))}
-    found = assembly.outer_blocks(blocks, "vec_id", {"a": 64, "b": 64, "c": 64})
-    return found.select("vec_id", "has_a", "has_b", "has_c", *((F.round(F.get(n, F.lit(0)), 6) + F.lit(0.0)).alias(f"{n}0") for n in "abc"))
+    """Three blocks of vectors, two of them held by some labels only, joined whole."""
+    e = base.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
+    found = assembly.outer_blocks({n: e.where(k).select("vec_id", "vector") for n, k in _BLOCKS.items()}, "vec_id", dict.fromkeys(_BLOCKS, 64))
+    rows = found.select("vec_id", "has_a", "has_b", "has_c", F.posexplode(F.arrays_zip("a", "b", "c")).alias("component", "x"))
+    return rows.select("vec_id", "has_a", "has_b", "has_c", "component", *((F.round(f"x.{n}", 6) + F.lit(0.0)).alias(n) for n in _BLOCKS))
 
 
-@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))), 6) AS norm, round(embedding[1] / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))), 6) + 0.0::DOUBLE AS first_component FROM embeddings")
+@query("""WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) AS norm FROM embeddings)
+    SELECT vec_id, round(norm, 6) AS norm, i - 1 AS component, round(embedding[i] / norm, 6) + 0.0::DOUBLE AS value FROM n, (SELECT unnest(generate_series(1, 64))::INTEGER AS i)""")
 def vector_l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = base.table(spark, sf_dir, "embeddings")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    return e.select("vec_id", F.round(norm, 6).alias("norm"), (F.round(F.get(assembly.l2_normalized(F.col("embedding")), F.lit(0)), 6) + F.lit(0.0)).alias("first_component"))
+    rows = e.select("vec_id", F.round(norm, 6).alias("norm"), F.posexplode(assembly.l2_normalized(F.col("embedding"))).alias("component", "value"))
+    return rows.withColumn("value", F.round("value", 6) + F.lit(0.0))
 
 
 @query(f"""WITH {evaluation._SQL}
@@ -89,8 +94,8 @@ def feature_summary_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature rows of one horizon with a past-volatility vector and a document vector for the call."""
-    rows = evaluation.features(spark, sf_dir).where("horizon = 7")
+    """Feature rows of all horizons with a past-volatility vector and a document vector for the call."""
+    rows = evaluation.features(spark, sf_dir)
     rows = assembly.impute_medians(rows, list(DENSE), F.col("segment") == "train")
     e = base.table(spark, sf_dir, "embeddings")
     k = e.count()
@@ -99,15 +104,23 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("text", F.coalesce("text", F.array_repeat(F.lit(0.0), 64))).withColumn("dense", F.array(*(F.col(c) for c in DENSE)))
 
 
+def _alpha(alphas: dict[tuple, float]) -> Column:
+    """The penalty that each horizon chose."""
+    return F.element_at(F.create_map(*(x for k, v in alphas.items() for x in (F.lit(k[0]), F.lit(v)))), F.col("horizon"))
+
+
+def _scored(found: DataFrame, *by: str) -> DataFrame:
+    return found.where("segment = 'test'").groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.pow(F.col("pred") - F.col("v_post"), 2)).alias("mse"))
+
+
 @query()
 def ridge_alpha_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ridge heads on past volatility with and without text, scored on the test segment."""
-    rows = _wide(spark, sf_dir).withColumn("both", F.concat("dense", "text")).cache()
+    """Ridge heads of each horizon on past volatility with and without text, scored on the test segment."""
+    rows = _wide(spark, sf_dir).withColumn("both", F.concat("dense", "text"))
     out = None
     for name in ("dense", "both"):
-        found, alpha = models.ridge(rows, name, "v_post")
-        cell = found.where("segment = 'test'").agg(F.count("*").alias("n"), F.avg(F.pow(F.col("pred") - F.col("v_post"), 2)).alias("mse"))
-        cell = cell.select(F.lit(name).alias("features"), F.lit(alpha).alias("alpha"), "n", *base.r6("mse"))
+        found, alphas = models.ridge(rows, name, "v_post", by=("horizon",))
+        cell = _scored(found, "horizon").select("horizon", F.lit(name).alias("features"), _alpha(alphas).alias("alpha"), "n", *base.r6("mse"))
         out = cell if out is None else out.unionByName(cell)
     return out
 
@@ -125,7 +138,7 @@ def gbdt_fixed_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mlp_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _wide(spark, sf_dir)
+    rows = _wide(spark, sf_dir).where("horizon = 7")
     found = models.network(rows, "dense", "v_post", F.col("segment") == "train", seeds=(0, 1), hidden=32, epochs=30)
     return found.where("segment = 'test'").groupBy("seed").agg(F.count("*").alias("n"), F.avg(F.pow(F.col("pred") - F.col("v_post"), 2)).alias("mse")).select("seed", "n", *base.r6("mse"))
 
@@ -140,8 +153,8 @@ def pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def gated_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks reduced and set to length 1, joined with dense numbers, under a network; and a stack of two ridges."""
-    rows = _wide(spark, sf_dir)
+    """Blocks reduced and set to length 1, joined with dense numbers, under a network."""
+    rows = _wide(spark, sf_dir).where("horizon = 7")
     fused = models.gated_blocks(rows, F.col("segment") == "train", ["text"], list(DENSE), k=8)
     net = models.network(fused, "fused", "v_post", F.col("segment") == "train", hidden=32, epochs=20)
     return net.where("segment = 'test'").agg(F.count("*").alias("n"), F.avg(F.pow(F.col("pred") - F.col("v_post"), 2)).alias("mse")).select(F.lit("gated_fusion").alias("model"), "n", *base.r6("mse"))
@@ -150,11 +163,10 @@ def gated_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _wide(spark, sf_dir)
-    one, _ = models.ridge(rows, "dense", "v_post")
-    two, _ = models.ridge(one.withColumnRenamed("pred", "base_dense"), "text", "v_post")
-    found, alpha = models.stack(two.withColumnRenamed("pred", "base_text"), ["base_dense", "base_text"], "v_post")
-    cell = found.where("segment = 'test'").agg(F.count("*").alias("n"), F.avg(F.pow(F.col("pred") - F.col("v_post"), 2)).alias("mse"))
-    return cell.select(F.lit("stack").alias("model"), F.lit(alpha).alias("alpha"), "n", *base.r6("mse"))
+    one, _ = models.ridge(rows, "dense", "v_post", by=("horizon",))
+    two, _ = models.ridge(one.withColumnRenamed("pred", "base_dense"), "text", "v_post", by=("horizon",))
+    found, alphas = models.stack(two.withColumnRenamed("pred", "base_text"), ["base_dense", "base_text"], "v_post", by=("horizon",))
+    return _scored(found, "horizon").select(F.lit("stack").alias("model"), "horizon", _alpha(alphas).alias("alpha"), "n", *base.r6("mse"))
 
 
 @query()
@@ -166,16 +178,15 @@ def identity_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def shuffle_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One fitted ridge scored on test rows as they are, with text permuted within tickers, and permuted at large."""
-    rows = _wide(spark, sf_dir).withColumn("both", F.concat("dense", "text")).select("call_id", "ticker", "segment", "v_post", "dense", "text")
+    """One fitted ridge a horizon scored on test rows as they are, with text permuted within tickers, and permuted at large."""
+    rows = _wide(spark, sf_dir).withColumn("both", F.concat("dense", "text")).select("call_id", "ticker", "horizon", "segment", "v_post", "dense", "text")
     test = rows.where("segment = 'test'")
-    variants = {"real": test, "within_shuffle": controls.shuffle_within(test, "call_id", ["text"], "ticker", 3), "global_shuffle": controls.shuffle_within(test, "call_id", ["text"], None, 3)}
+    variants = {"real": test, "within_shuffle": controls.shuffle_within(test.withColumn("cell", F.struct("horizon", "ticker")), "call_id", ["text"], "cell", 3).drop("cell"), "global_shuffle": controls.shuffle_within(test, "call_id", ["text"], "horizon", 3)}
     frame = rows.where("segment != 'test'").withColumn("condition", F.lit("fit"))
     for name, part in variants.items():
         frame = frame.unionByName(part.withColumn("condition", F.lit(name)))
-    found, _ = models.ridge(frame.withColumn("both", F.concat("dense", "text")), "both", "v_post")
-    cells = found.where("segment = 'test'").groupBy("condition").agg(F.count("*").alias("n"), F.avg(F.pow(F.col("pred") - F.col("v_post"), 2)).alias("mse"))
-    return cells.select("condition", "n", *base.r6("mse"))
+    found, _ = models.ridge(frame.withColumn("both", F.concat("dense", "text")), "both", "v_post", by=("horizon",))
+    return _scored(found, "condition", "horizon").select("condition", "horizon", "n", *base.r6("mse"))
 
 
 @query()

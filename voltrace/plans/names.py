@@ -46,7 +46,7 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""WITH dict AS (SELECT key, min(item_id) AS company FROM (SELECT item_id, {_sql_norm("regexp_extract(text, '^([A-Za-z]+)', 1)")} AS key FROM benchmark) WHERE key <> '' GROUP BY key),
-    runs AS (SELECT doc_id, unnest(r) AS run, generate_subscripts(r, 1) AS k FROM (SELECT doc_id, regexp_extract_all(text, '{names.CAPITAL_RUN.replace("'", "''")}') AS r FROM documents)),
+    runs AS (SELECT doc_id, unnest(r) AS run, generate_subscripts(r, 1) AS k FROM (SELECT doc_id, regexp_extract_all(text || chr(10) || text, '{names.CAPITAL_RUN.replace("'", "''")}') AS r FROM documents)),
     tokens AS (SELECT doc_id, k, regexp_split_to_array(run, '[ \t]') AS t FROM runs),
     starts AS (SELECT doc_id, k, t, unnest(generate_series(1, len(t))) AS i FROM tokens WHERE len(t) <= 12),
     spans AS (SELECT doc_id, k, i, j, array_to_string(t[i:i + j - 1], ' ') AS span FROM (SELECT *, unnest(generate_series(1, least(6, len(t) - i + 1))) AS j FROM starts)),
@@ -57,23 +57,24 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
         QUALIFY row_number() OVER (PARTITION BY doc_id, k, i ORDER BY j DESC, form) = 1
     ),
     sums AS (SELECT doc_id, company, count_if(contains(key, ' ')) AS m, count_if(NOT contains(key, ' ')) AS s FROM hits GROUP BY ALL)
-    SELECT doc_id, company, (m + CASE WHEN s >= 1 THEN least(s, 3) ELSE 0 END)::BIGINT AS n FROM sums WHERE m + CASE WHEN s >= 1 THEN least(s, 3) ELSE 0 END > 0""")
+    SELECT doc_id, company, (m + CASE WHEN s >= 2 THEN least(s, 3) ELSE 0 END)::BIGINT AS n FROM sums WHERE m + CASE WHEN s >= 2 THEN least(s, 3) ELSE 0 END > 0""")
 def phrase_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = names.phrase_mentions(base.table(spark, sf_dir, "documents").select("doc_id", "text"), dictionary(spark, sf_dir), call="doc_id", single_min=1)
+    said_twice = base.table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\n"), "text").alias("text"))
+    found = names.phrase_mentions(said_twice, dictionary(spark, sf_dir), call="doc_id")
     return found.select("doc_id", "company", F.col("n").cast("long").alias("n"))
 
 
 _PHRASES = ("our monthly sales", "the annual meeting of shareholders", "a fireside evening", "Q3 results and earnings", "a merger of equals", "a forum hosted by us", "nothing else")
 
 
-@query(f"""WITH d AS (SELECT doc_id, replace(left(text, 200) || ' ' || {list(_PHRASES)}[doc_id % 7 + 1], 'fireside chat at', '') AS blob FROM documents)
+@query(f"""WITH d AS (SELECT doc_id, replace(left(text, 1500) || ' ' || {list(_PHRASES)}[doc_id % 7 + 1], 'fireside chat at', '') AS blob FROM documents)
     SELECT doc_id, CASE WHEN regexp_matches(blob, '{names.SALES}') THEN 'sales' WHEN regexp_matches(blob, '{names.MEETING}') THEN 'meeting'
         WHEN regexp_matches(blob, '(?i)fireside|introduce our next company|analyst at |my name is .{{3,80}}?analyst|(?:healthcare|tech(?:nology)?|growth|industrial) conference') THEN 'conference'
         WHEN regexp_matches(blob, '{names.EARNINGS}') THEN 'earnings' WHEN regexp_matches(blob, '{names.MERGER}') THEN 'ma' WHEN regexp_matches(blob, '{names.CONFERENCE}') THEN 'conference' ELSE 'unknown' END AS call_type
     FROM d""")
 def rule_cascade_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.get(F.array(*map(F.lit, _PHRASES)), (F.col("doc_id") % 7).cast("int"))
-    return base.table(spark, sf_dir, "documents").select("doc_id", names.classify_call(F.left("text", F.lit(200)), page).alias("call_type"))
+    return base.table(spark, sf_dir, "documents").select("doc_id", names.classify_call("text", page).alias("call_type"))
 
 
 @query("""WITH o AS (SELECT o_orderkey AS call_id, o_orderdate::DATE AS said, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate::DATE + (o_orderkey % 120)::INTEGER END AS created FROM orders),

@@ -142,11 +142,11 @@ def manifest_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH g AS (SELECT conv_id, turn, length(text) AS n FROM conversations), m AS (SELECT DISTINCT conv_id FROM g)
-    SELECT m.conv_id, p AS place, coalesce(g.n, 0) AS n_chars FROM m CROSS JOIN (SELECT unnest(generate_series(0, 9))::INTEGER AS p) LEFT JOIN g ON g.conv_id = m.conv_id AND g.turn = p""")
+    SELECT m.conv_id, p AS place, coalesce(g.n, 0) AS n_chars FROM m CROSS JOIN (SELECT unnest(generate_series(0, 522))::INTEGER AS p) LEFT JOIN g ON g.conv_id = m.conv_id AND g.turn = p""")
 def sequence_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every group at ten positions, zeros where it has none."""
+    """Every group at 523 positions, zeros where it has none."""
     turns = base.table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("int").alias("place"), F.length("text").cast("long").alias("n"))
-    slots = turns.select("conv_id").distinct().withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    slots = turns.select("conv_id").distinct().withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(522))))
     return slots.join(turns, ["conv_id", "place"], "left").select("conv_id", "place", F.coalesce("n", F.lit(0)).alias("n_chars"))
 
 

@@ -83,13 +83,13 @@ def section_method_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _flat(x: str, end: bool = False) -> str:
     flat = rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
-    return f"right({flat}, 40)" if end else f"left({flat}, 40)"
+    return f"right({flat}, 160)" if end else f"left({flat}, 160)"
 
 
 @query(f"""WITH {_SECTIONS} SELECT call_id, boundary, max({_flat('text', True)}) FILTER (WHERE turn_idx = boundary - 1) AS previous, max({_flat('text')}) FILTER (WHERE turn_idx = boundary) AS boundary_text,
     max({_flat('text')}) FILTER (WHERE turn_idx = boundary + 1) AS following FROM turns JOIN sections USING (call_id) WHERE has_qa AND turn_idx BETWEEN boundary - 1 AND boundary + 1 GROUP BY ALL""")
 def boundary_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.boundary_context(turns(spark, sf_dir), text.detect_sections(turns(spark, sf_dir), cue=CUE), n=40)
+    return text.boundary_context(turns(spark, sf_dir), text.detect_sections(turns(spark, sf_dir), cue=CUE), n=160)
 
 
 @query(f"WITH RECURSIVE {_CHUNKS} SELECT call_id, turn_idx, role, section, chunk_in_turn::INTEGER AS chunk_in_turn, n_words, n_chars, oversize, sha256(text) AS text_hash FROM chunks")
