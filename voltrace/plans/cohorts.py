@@ -234,16 +234,16 @@ def report_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.view_specs(spark, **_VIEWS)
 
 
-@query(f"""WITH p AS (SELECT ticker, date, close FROM (WITH {base.sql_bars(base.MIXED_SERIES.replace('concat(l_returnflag, l_linestatus)', 'l_returnflag || l_linestatus'))} SELECT * FROM bars))
+@query(f"""WITH p AS (SELECT ticker, date, close * 0.7310585786::DOUBLE AS close FROM (WITH {base.sql_bars(base.MIXED_SERIES.replace('concat(l_returnflag, l_linestatus)', 'l_returnflag || l_linestatus'))} SELECT * FROM bars))
     SELECT ticker, date, round(close, 6) AS open, round(close * 1.1::DOUBLE, 6) AS high, round(close, 6) AS low, round(close, 6) AS close, CASE WHEN day(date) % 2 = 0 THEN 0 ELSE 1000 + day(date) END::BIGINT AS volume FROM p WHERE day(date) <> 13""")
 def price_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price files as their source sends them, one text a ticker: adjusted columns, fallbacks, and lines without a close."""
-    rows = base.bars(spark, sf_dir, base.MIXED_SERIES)
-    day, close = F.dayofmonth("date"), F.format_string("%.9f", F.col("close"))
+    rows = base.bars(spark, sf_dir, base.MIXED_SERIES).withColumn("close", F.col("close") * 0.7310585786)
+    day, close = F.dayofmonth("date"), F.col("close").cast("string")
     plain, adjusted = F.when(day % 3 == 0, close).otherwise("7"), F.when(day % 3 != 0, close).otherwise("")
     line = F.concat_ws(
         ",", F.concat(F.col("date").cast("string"), F.lit("T00:00:00")), F.when(day == 13, "").otherwise(plain), F.when(day == 13, "").otherwise(adjusted),
-        F.when(day == 13, "").otherwise(F.format_string("%.9f", F.col("close") * 1.1)), F.when(day % 2 == 0, "").otherwise((1000 + day).cast("string")),
+        F.when(day == 13, "").otherwise((F.col("close") * 1.1).cast("string")), F.when(day % 2 == 0, "").otherwise((1000 + day).cast("string")),
     )
     files = rows.groupBy("ticker").agg(F.concat_ws("\n", F.lit("date,close,adjClose,adjHigh,volume"), F.sort_array(F.collect_list(line))).alias("text"))
     found = archives.price_rows(files)
