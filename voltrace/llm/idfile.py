@@ -27,8 +27,8 @@ from ._tokens import packed_encoder, vocabulary
 
 MAGIC = b"VTIDEF01"
 SAMPLE = 512
-#: Bytes of text in a file, about.
-FILE_BYTES = 128 << 20
+#: Bytes of text in a file, about: so many, and more, up to a limit, where that gives too many files.
+FILE_BYTES, MOST_FILES, MOST_FILE_BYTES = 16 << 20, 100_000, 512 << 20
 
 
 def encode_sequence(values: np.ndarray) -> dict:
@@ -176,7 +176,7 @@ def write_id_files(
     """Encode every text whole, append the end id, and write id files in ascending order of ``id_col``.
 
     Rows are dealt by ranges of (document number, place in the input), so a number that very many rows share is split
-    over files. There are as many files as FILE_BYTES of text a file make, and at least two for each core. Null texts are empty texts: the end id alone. Null numbers come first; rows with equal numbers keep their
+    over files. There are as many files as FILE_BYTES of text a file make, and at least one for each core. Null texts are empty texts: the end id alone. Null numbers come first; rows with equal numbers keep their
     input order. Returns the manifest in order: [{"path", "docs", "ids", "start"}], start being the ids in all files
     before. One entry per file, so its size is that of the file list. An empty table gives [].
     """
@@ -207,9 +207,10 @@ def write_id_files(
 
     rows = docs.select(docs[id_col].cast("long").alias("number"), docs[text_col].cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = -(-size // min(max(FILE_BYTES, -(-size // MOST_FILES)), MOST_FILE_BYTES))
     made = (
         rows.withColumn("place", F.monotonically_increasing_id())
-        .repartitionByRange(max(-(-size // FILE_BYTES), 2 * spark.sparkContext.defaultParallelism), F.col("number").asc_nulls_first(), "place")
+        .repartitionByRange(max(files, spark.sparkContext.defaultParallelism), F.col("number").asc_nulls_first(), "place")
         .sortWithinPartitions(F.col("number").asc_nulls_first(), "place")
         .select("number", "text")
         .mapInArrow(write, "part long, path string, docs long, ids long")
