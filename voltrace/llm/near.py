@@ -2,7 +2,7 @@
 
 At a Jaccard similarity of 0.8 the cosine of two shingle sets is 2 * 0.8 / 1.8 or more, so a SimHash bit of theirs agrees
 with odds of 0.848. 64 bits are too few to tell such pairs apart from others and too few to find them by, so a fingerprint
-has 4,096. A shingle's hash of 4,096 bits is its code word: the row of a Hadamard matrix that 12 bits of the shingle's 64-bit
+has 2,048. A shingle's hash of 2,048 bits is its code word: the row of a Hadamard matrix that 11 bits of the shingle's 64-bit
 hash choose, with the sign of another bit; a fingerprint bit is 1 if over half of the shingles' hashes have it. A fast Walsh
 transform of signed counts gives all bits at once.
 
@@ -10,9 +10,11 @@ The join samples bits: each table deals all fingerprints by some bits of theirs,
 and there are so many tables, each with bits of its own, that a pair of similarity 0.8 meets in none with odds of MISS. In a
 bucket every pair is compared on 128 further bits, which are in no table. Equal sets are one entry.
 
-A bucket with more close pairs than MANY for each member proposes each member's first and nearest close partner only. Once
-those are confirmed its members are compared again, and pairs of different classes are proposed unless the parity sketches
-of ``similar`` exclude them, so a large class of near copies isn't compared with itself and no pair is left out.
+The parity sketches of ``similar`` exclude close pairs that can't be similar before texts are read. A bucket with more close
+pairs than MANY for each member proposes each member's first close partner only. Once those are confirmed its members are
+compared again: two rounds propose each member's closest by the sketches outside its class, and the last one all pairs of
+different classes that the sketches don't exclude, so a large class of near copies isn't compared with itself and no pair is
+left out.
 """
 
 from __future__ import annotations
@@ -29,16 +31,16 @@ from pyspark.sql.group import GroupedData
 from ._store import bound_batches, columns, field_list, free_name, materialize, plain_names
 from ._words import mix
 from .components import connected_components
-from .similar import WORDS, _confirmed, _lists, _ordered, _sets, set_sketches, shingle_sets
+from .similar import WORDS, _confirmed, _lists, _sets, may_be_similar, set_sketches, shingle_sets
 
-BITS = 4096
+BITS = 2048
 #: Bits compared in a bucket, and by how many of them two fingerprints may differ: those of a pair of similarity 0.8 differ
 #: in 19.4 on average, in more than DISTANCE with odds below 1 in 10,000; those of unrelated texts with odds of 4 in 10 million.
 CHECKED, DISTANCE = 128, 36
 #: Odds with which a fingerprint bit agrees at similarity 0.8, and with which a pair of that similarity meets in no table.
 AGREE, MISS = 0.8485, 1e-4
 #: Fingerprints that a bucket holds on average; close pairs for each member beyond which a bucket is crowded.
-BUCKET, MANY = 2048, 16
+BUCKET, MANY = 4096, 16
 #: Rows of a bucket in one cell; a bucket of more than two cells' rows is compared by pairs of cells, each a group of its own.
 CELL = 8192
 _HADAMARD = np.array([[1 - 2 * ((i & j).bit_count() & 1) for j in range(64)] for i in range(64)], np.float32)
@@ -52,22 +54,22 @@ def set_prints(offsets: np.ndarray, h: np.ndarray) -> np.ndarray:
     if not len(sizes):
         return out
     code = mix(h + np.uint64(3))
-    slot, sign = (code >> np.uint64(52)).astype(np.int64), 1.0 - 2.0 * (code & np.uint64(1)).astype(np.float64)
+    slot, sign = (code >> np.uint64(53)).astype(np.int64), 1.0 - 2.0 * (code & np.uint64(1)).astype(np.float64)
     ends = np.append(0, np.cumsum(sizes))
     for k in range(0, len(sizes), 128):
         n = min(128, len(sizes) - k)
         some = slice(ends[k], ends[k + n])
         at = np.repeat(np.arange(n) * BITS, sizes[k : k + n]) + slot[some]
-        sums = np.bincount(at, sign[some], n * BITS).astype(np.float32).reshape(n * 64, 64) @ _HADAMARD
-        sums = _HADAMARD @ sums.reshape(n, 64, 64)
+        sums = np.bincount(at, sign[some], n * BITS).astype(np.float32).reshape(n * BITS // 64, 64) @ _HADAMARD
+        sums = _HADAMARD[: BITS // 64, : BITS // 64] @ sums.reshape(n, BITS // 64, 64)
         bits = np.ascontiguousarray((sums.reshape(n, BITS) > 0)[:, _ORDER])
         out[k : k + n] = np.packbits(bits, bitorder="little").view("<u8").reshape(n, -1)
     return out
 
 
 def plan_tables(n: int) -> tuple[int, int]:
-    """(tables, bits of each) for so many fingerprints; beyond 2**29 of them the buckets grow."""
-    width = min(18, max(0, round(log2(max(n, 1) / BUCKET))))
+    """(tables, bits of each) for so many fingerprints; beyond 2**27 of them the buckets grow."""
+    width = min(15, max(0, round(log2(max(n, 1) / BUCKET))))
     return (min(ceil(log(MISS) / log(1 - AGREE**width)), (BITS - CHECKED) // width) if width else 1), width
 
 
@@ -114,8 +116,8 @@ def _by_cells(rows: DataFrame, cell: int) -> GroupedData:
     return dealt.drop("cells").groupBy("bucket", F.least("cell", "other").alias("low"), F.greatest("cell", "other").alias("high"))
 
 
-def _close(x: np.ndarray, y: np.ndarray, cell: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, bits that differ) of all pairs i > j within the distance, of different cells if there are two, by blocks: i ascending, then j."""
+def _close(x: np.ndarray, y: np.ndarray, cell: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of all pairs i > j within the distance, of different cells if there are two, by blocks: i ascending, then j."""
     mixed = len(cell) > 0 and cell.min() != cell.max()
     for i in range(0, len(x), 256):
         for j in range(0, min(i + 256, len(x)), 4096):
@@ -126,7 +128,7 @@ def _close(x: np.ndarray, y: np.ndarray, cell: np.ndarray, distance: int) -> Ite
                 below &= cell[a + i] != cell[b + j]
             if below.any():
                 a, b = a[below], b[below]
-                yield a + i, b + j, d[a, b]
+                yield a + i, b + j
 
 
 def _column(table: pa.Table, name: str) -> np.ndarray:
@@ -138,12 +140,11 @@ def _proposals(distance: int, many: int):
 
     def run(table: pa.Table) -> pa.Table:
         node, bucket = _column(table, "node"), _column(table, "bucket")
-        order = np.argsort(mix(node.view(np.uint64) + bucket.view(np.uint64)), kind="stable")
+        order = np.argsort(node)  # the same first partner in all tables
         node, x, y = node[order], _column(table, "x")[order].view(np.uint64), _column(table, "y")[order].view(np.uint64)
         left, right, found, crowded = [], [], 0, False
-        first, nearest = np.full((2, len(node)), -1)
-        least, met = np.full(len(node), CHECKED + 1), np.zeros(len(node), bool)
-        for i, j, d in _close(x, y, _column(table, "cell")[order], distance):
+        first, met = np.full(len(node), -1), np.zeros(len(node), bool)
+        for i, j in _close(x, y, _column(table, "cell")[order], distance):
             met[i] = met[j] = True
             found += len(i)
             crowded |= found > many * len(node)
@@ -155,12 +156,9 @@ def _proposals(distance: int, many: int):
             at, start = np.unique(i, return_index=True)
             new = first[at] < 0
             first[at[new]] = j[start[new]]
-            by = np.lexsort((d, i))[start]  # each i's nearest of this block
-            nearer = d[by] < least[at]
-            least[at[nearer]], nearest[at[nearer]] = d[by][nearer], j[by][nearer]
         if crowded:
             some = np.flatnonzero(first >= 0)
-            left, right = [some, some], [first[some], nearest[some]]
+            left, right = [some], [first[some]]
         i, j = (np.concatenate([np.zeros(0, np.int64), *side]) for side in (left, right))
         open_ = node[met] if crowded else node[:0]
         a, b = np.append(np.minimum(node[i], node[j]), np.full(len(open_), bucket[0])), np.append(np.maximum(node[i], node[j]), open_)
@@ -169,21 +167,31 @@ def _proposals(distance: int, many: int):
     return run
 
 
-def _across(percent: int, distance: int):
-    """Of one crowded bucket (a, b): close pairs of different classes that the sketches don't exclude."""
+def _across(percent: int, distance: int, best: bool):
+    """Of one crowded bucket (a, b): close pairs of different classes that the sketches don't exclude; ``best``: each member's closest by them."""
 
     def run(table: pa.Table) -> pa.Table:
         node, root, x, y = (_column(table, c) for c in ("node", "root", "x", "y"))
         sketch = table.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1 + WORDS)
         size, out = sketch[:, 0].astype(np.int64), [np.zeros((0, 2), np.int64)]
-        for i, j, _ in _close(x.view(np.uint64), y.view(np.uint64), _column(table, "cell"), distance):
+        least, closest = np.full(len(node), np.inf), np.full(len(node), -1)
+        for i, j in _close(x.view(np.uint64), y.view(np.uint64), _column(table, "cell"), distance):
             apart = root[i] != root[j]
             i, j = i[apart], j[apart]
             differ = np.bitwise_count(sketch[i, 1:] ^ sketch[j, 1:]).sum(1, dtype=np.int64)
             n, m = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
             may = (n * 100 >= m * percent) & (differ * (100 + percent) <= (n + m) * (100 - percent))
+            if best:
+                apart_by = differ[may] / (n + m)[may]
+                for at, to in ((i[may], j[may]), (j[may], i[may])):
+                    by = np.lexsort((apart_by, at))
+                    by = by[np.unique(at[by], return_index=True)[1]]
+                    by = by[apart_by[by] < least[at[by]]]
+                    least[at[by]], closest[at[by]] = apart_by[by], to[by]
+                continue
             out.append(np.sort(np.column_stack([node[i[may]], node[j[may]]]), axis=1))
-        pairs = np.concatenate(out)
+        some = np.flatnonzero(closest >= 0)
+        pairs = np.concatenate([*out, np.sort(np.column_stack([node[some], node[closest[some]]]), axis=1)])
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
@@ -196,21 +204,26 @@ def simhash_links(prints: DataFrame, texts_of, *, percent: int = 80, shingle: in
     """
     dealt = _dealt(prints, *plan_tables(prints.count()))
     proposed = materialize(_by_cells(dealt, CELL).applyInArrow(_proposals(DISTANCE, MANY), "a long, b long, crowded boolean"), "proposals")
-    pairs = materialize(proposed.where("NOT crowded").select("a", "b").distinct(), "close-pairs")
+    x, y = prints.select(F.col("node").alias("a"), F.col("sketch").alias("x")), prints.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
+    pairs = proposed.where("NOT crowded").select("a", "b").distinct().join(x, "a").join(y, "b")
+    tried = materialize(pairs.where(may_be_similar(F.col("x"), F.col("y"), percent)).select("a", "b"), "close-pairs")
 
-    def confirmed(some: DataFrame, name: str) -> DataFrame:
+    def confirmed(some: DataFrame) -> DataFrame:
         nodes = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return materialize(_confirmed(some, materialize(_sets(texts_of(nodes), shingle), "shingle-sets"), percent), name)
+        return materialize(_confirmed(some, materialize(_sets(texts_of(nodes), shingle), "shingle-sets"), percent), "close-links")
 
-    found = confirmed(pairs, "close-links")
+    found = confirmed(tried)
     open_ = proposed.where("crowded").select(F.col("a").alias("bucket"), F.col("b").alias("node")).distinct()
     if open_.isEmpty():
         return found
     words = prints.select("node", F.col("print")[0].alias("x"), F.col("print")[1].alias("y"), "sketch")
-    open_ = open_.join(connected_components(found), "node", "left").join(words, "node").withColumn("root", F.coalesce("root", "node"))
-    rest = _by_cells(materialize(open_, "crowded-members"), CELL).applyInArrow(_across(percent, DISTANCE), "a long, b long").distinct()
-    rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "other-pairs")
-    return found.unionByName(confirmed(rest, "other-links"))
+    open_ = materialize(open_.join(words, "node"), "crowded-members")
+    for best in (True, True, False):
+        rooted = open_.join(connected_components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rest = _by_cells(rooted, CELL).applyInArrow(_across(percent, DISTANCE, best), "a long, b long").distinct()
+        rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "other-pairs")
+        found, tried = found.unionByName(confirmed(rest)), tried.unionByName(rest)
+    return found
 
 
 def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5) -> DataFrame:
