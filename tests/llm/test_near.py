@@ -90,3 +90,35 @@ def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
     assert kept(spark, given) == want
     monkeypatch.setattr(near, "BUCKET", 32)
     assert kept(spark, given) == want
+
+
+def loose():
+    """(id, text): 150 texts of which hardly two are linked, though their similarity is just below 0.8."""
+    rng = random.Random(9)
+    base, texts = [f"v{rng.randrange(10**6)}" for _ in range(170)], []
+    for _ in range(150):
+        w = list(base)
+        for at in (rng.randrange(5, 80), rng.randrange(90, 165)):
+            w[at] = f"n{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+    return list(enumerate(texts))
+
+
+def test_families_make_rows_by_members_not_by_pairs(spark, monkeypatch):
+    given, made = loose(), {}
+
+    def counted(df, name, of=near.materialize):
+        table = of(df, name)
+        made[name] = table.count()
+        return table
+
+    monkeypatch.setattr(near, "materialize", counted)
+    assert kept(spark, given) == plain_kept(given)
+    assert made and max(made.values()) <= len(given), made
+
+
+def test_large_families_in_cells_lose_no_class(spark, monkeypatch):
+    given = [*family(), *((1000 + i, t) for i, t in loose())]
+    monkeypatch.setattr(near, "FAMILY", 16)
+    monkeypatch.setattr(near, "SHINGLES", 5000)
+    assert kept(spark, given) == plain_kept(given)
