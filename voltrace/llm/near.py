@@ -11,11 +11,11 @@ and there are so many tables, each with bits of its own, that a pair of similari
 bucket every pair is compared on 192 further bits, which are in no table. Equal sets are one entry.
 
 A bucket gives no pairs: it gives a tree over each component of its close fingerprints, a row for each member but one, and
-leaves out pairs that met in one of the first tables. What the
-trees of all buckets join is a family; no close pair is outside one. In a family the sets themselves meet, a row for each
-member, and a search over whole sets gives the classes, again as trees; the parity sketches of ``similar`` exclude pairs first.
-Small families share a group. A large one is dealt over cells, its head to all of them; where that leaves several classes, the
-members outside the largest one visit all cells, so every two members of different classes are compared.
+leaves out pairs that met in one of the first tables. What the trees of all buckets join is a family; no close pair is outside
+one. In a family the sets themselves meet, a row for each member, and a search over whole sets gives the classes, again as
+trees; the parity sketches of ``similar`` exclude pairs first. Small families share a group. A large one is dealt over cells,
+its head to all of them; where that leaves several classes, the members outside the largest one visit all cells, so every two
+members of different classes are compared.
 """
 
 from __future__ import annotations
